@@ -8,12 +8,17 @@ rank r takes block r, and blocks after the end of the stream start it again.
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import WORD, n_words, written
+
+_WORDS = re.compile(WORD)
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -114,8 +119,9 @@ def _streams(sized: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """The mix of all documents: (documents, pieces).
 
-    documents: _row, doc_id, size, source_size, target, taken.  pieces: t, _row, doc_id, first, words:
-    in slot t of the mix stand so many words of the document from word ``first`` on.
+    documents: _row, doc_id, size, source_size, target, taken.  pieces: t, _row, doc_id, h (hash of the
+    text), p, size, first, words: in slot t of the mix stand so many words of the document's pass p from
+    word ``first`` on.
     Only sizes and keys are shuffled, never texts.  Null text: size 0, taken 0.  Null source: a source of its
     own, last.  Repeated rows and doc_ids are documents of their own, told apart by ``_row``.  Empty
     table: no rows.  Other columns are not read.
@@ -131,8 +137,27 @@ def mix(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "tex
     spans = placed.withColumn("p", passes).withColumn("a", F.col("pos") + F.col("p") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("a < b")
     spans = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))))
     lo, hi = F.greatest("a", F.col("rank") * block), F.least("b", (F.col("rank") + 1) * block)
-    spans = spans.select("src", "rank", "_row", "doc_id", (lo - F.col("a")).alias("first"), (hi - lo).alias("words"))
-    pieces = spans.join(schedule(sources, n_slots), ["src", "rank"]).select("t", "_row", "doc_id", "first", "words")
+    spans = spans.select("src", "rank", "_row", "doc_id", F.col("_h").alias("h"), "p", "size", (lo - F.col("a")).alias("first"), (hi - lo).alias("words"))
+    pieces = spans.join(schedule(sources, n_slots), ["src", "rank"]).select("t", "_row", "doc_id", "h", "p", "size", "first", "words")
     taken = pieces.groupBy("_row").agg(F.sum("words").alias("taken"))
     out = known.join(taken, "_row", "left").select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return out, pieces
+
+
+def mixed_documents(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Rows of docs as the mix takes them: one row for each pass over a document, none where it takes no
+    words, and the text cut after its last word taken where the source's quota ends within it."""
+    _, pieces = mix(docs, seed, doc_id, text, source)
+    taken = written(pieces.groupBy("_row", F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "p", "size").agg(F.sum("words").alias("_words")), "taken")
+    keyed = docs.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"])
+    rows = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")))
+    whole = rows.filter("_words >= size").select(*docs.columns)
+    names = docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            texts = [t[:next(itertools.islice(_WORDS.finditer(t), n - 1, None)).end()] for t, n in zip(batch.column(text).to_pylist(), batch.column("_words").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+
+    part = rows.filter("_words < size").select(*names, "_words").mapInArrow(cut, docs.schema)
+    return whole.unionByName(part)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, token_file
+from . import lines, mixing, packing, quality, similarity, token_file
 from .common import table
 
 END_ID, PACK_END_ID = 0, 2
@@ -34,16 +34,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), packing.CAPACITY, PACK_END_ID)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return docs.drop("_row")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_file": op2_token_file,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: Words in 3-word windows found twice or more, and the other measurements, of table {docs}.
@@ -69,4 +79,23 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": "WITH src AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents), " + QUALITY_SQL + """
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::INTEGER AS failed_bits FROM led""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE src AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM src),
+n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+l AS (SELECT a.k AS a, b.k AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+e AS (SELECT a, b FROM l JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT k, k AS t FROM src UNION SELECT r.k, e.b FROM r JOIN e ON r.t = e.a)
+SELECT src.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM r JOIN src ON src.k = r.k JOIN src o ON o.k = r.t LEFT JOIN n ON n.k = r.k GROUP BY src.k, src.doc_id""",
+    "op9_line_dedup": r"""
+WITH src AS (SELECT row_number() OVER () AS k, doc_id, source, text FROM documents),
+ln AS (SELECT k, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM src),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM ln),
+c AS (SELECT source, key, count(DISTINCT k) AS n FROM t WHERE key <> '' GROUP BY source, key),
+s AS (SELECT source, count(*) AS n FROM src GROUP BY source),
+b AS (SELECT c.source, c.key FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source WHERE c.n >= 5 AND 100 * c.n > 5 * s.n),
+f AS (SELECT t.*, b.key IS NOT NULL AS gone FROM t LEFT JOIN b ON b.key = t.key AND b.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT k, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped FROM f GROUP BY k)
+SELECT src.doc_id, CASE WHEN src.text IS NOT NULL THEN coalesce(a.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped FROM src LEFT JOIN a USING (k)""",
 }
