@@ -80,11 +80,11 @@ ORACLE_SQL: dict[str, str] = {
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::INTEGER AS failed_bits FROM led""",
     "op6_jaccard_join": r"""
-WITH RECURSIVE src AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sh AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM src),
-n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
-l AS (SELECT a.k AS a, b.k AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
-e AS (SELECT a, b FROM l JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+WITH RECURSIVE src AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM src),
+n AS MATERIALIZED (SELECT k, count(*) AS n FROM sh GROUP BY k),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+e AS MATERIALIZED (SELECT a, b FROM l JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
 r AS (SELECT k, k AS t FROM src UNION SELECT r.k, e.b FROM r JOIN e ON r.t = e.a)
 SELECT src.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM r JOIN src ON src.k = r.k JOIN src o ON o.k = r.t LEFT JOIN n ON n.k = r.k GROUP BY src.k, src.doc_id""",
