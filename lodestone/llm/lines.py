@@ -65,4 +65,4 @@ def drop_boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int =
     with_word = F.coalesce(F.size(F.filter(lines, _has_word)), F.lit(0))
     left = F.coalesce(F.size(F.filter(F.col("_rest"), _has_word)), F.lit(0))
     d = d.withColumn("n_lines", with_word.cast("long")).withColumn("n_dropped", (F.col("n_lines") - left).cast("long"))
-    return d.withColumn(text, F.array_join("_rest", "\\n")).drop("_rest", "_keys").select(*docs.columns, "n_lines", "n_dropped")
+    return d.withColumn(text, F.array_join("_rest", "\n")).drop("_rest", "_keys").select(*docs.columns, "n_lines", "n_dropped")
