@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, similarity, token_file
+from . import lines, mixing, packing, quality, similarity, token_file, winnow
 from .common import table
 
 END_ID, PACK_END_ID = 0, 2
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = winnow.compared_with_next(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.as_string(F.col("sel")).alias("fingerprint"),
+        winnow.as_string(F.col("edited_sel")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_file.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
     return token_file.read_token_files(manifest)
@@ -48,6 +55,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op2_token_file": op2_token_file,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
