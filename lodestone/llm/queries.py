@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, similarity, token_file, winnow
+from . import html_text, language, lines, mixing, packing, quality, similarity, token_file, winnow
 from .common import table
 
 END_ID, PACK_END_ID = 0, 2
@@ -31,6 +31,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(manifest)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "web-1")
     failed = F.col("failed_bits").bitwiseAND(quality.mask(quality.BASE)) != 0
@@ -54,14 +59,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_token_file": op2_token_file,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
     "op9_line_dedup": op9_line_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: Words in 3-word windows found twice or more, and the other measurements, of table {docs}.
