@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language, lines, mixing, packing, quality, similarity, token_file, winnow
+from . import html_text, language, lines, mixing, packing, quality, repeats, similarity, token_file, winnow
 from .common import table
 
 END_ID, PACK_END_ID = 0, 2
@@ -55,6 +55,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.drop("_row")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_source_mix": op7_source_mix,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
