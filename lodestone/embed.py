@@ -80,14 +80,21 @@ def select_model_files(names: list[str]) -> list[str]:
     return model + [n for n in names if n in wanted]
 
 
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; zeros stay."""
+    v = np.asarray(v, np.float64)
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.where(size > 0, v / np.where(size > 0, size, 1), v)
+
+
 def embed(text, embedder: Embedder, batch: int = 16) -> Column:
-    """Vectors of a text column: Arrow batches, handed to the embedder in parts."""
+    """Vectors of length one (or zero) of a text column: Arrow batches, handed to the embedder in parts."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = part.fillna("").tolist()
-            rows = [v for a in range(0, len(texts), batch) for v in embedder.embed_batch(texts[a:a + batch])]
+            rows = [v for a in range(0, len(texts), batch) for v in unit_rows(embedder.embed_batch(texts[a:a + batch]))]
             yield pd.Series(rows, dtype=object)
 
     return run(text)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..embed import Embedder, spec_of
 from ..errors import CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
-from ..operators import vectors
 from ..operators.chunk import budget, chunks as chunk_column
 from ..schemas import MODEL_SOURCES, TABLES
 
@@ -78,6 +77,14 @@ class Catalog:
         df.write.parquet(place)
         return place
 
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df as a written table that cleanup() takes away."""
+        return self.spark.read.schema(df.schema).parquet(self._write("staging", df))
+
+    def cleanup(self) -> None:
+        """Take away staged tables; not while a change is running."""
+        self._fs.delete(self._path(f"{self.root}/staging"), True)
+
     def _read(self, state: dict, name: str) -> DataFrame:
         places = state["tables"][name]
         return self.spark.read.schema(TABLES[name]).parquet(*places) if places else self.spark.createDataFrame([], TABLES[name])
@@ -199,12 +206,11 @@ class Catalog:
         state = self._state()
         size, overlap = budget(embedder.max_input_tokens)
         cut = entries.withColumn("_c", chunk_column(F.col("text"), size, overlap)).drop("text").withColumn("chunk_count", F.size("_c"))
-        staged = self.spark.read.parquet(self._write("staging", cut))
+        staged = self.staged(cut)
         first = state["next"]["files"]
         known = staged.filter("chunk_count > 0")
         # per entry one small row: numbers are dealt out by sums of partitions, not in one task
-        listing = _with_ids(known.select("path", "chunk_count"), "path", first, state["next"]["chunks"])
-        listing = self.spark.read.parquet(self._write("staging", listing))
+        listing = self.staged(self._with_ids(known.select("path", "chunk_count"), first, state["next"]["chunks"]))
         totals = listing.agg(F.count("*").alias("n"), F.sum("chunk_count").alias("c")).first()
         state["next"]["files"] += totals["n"]
         state["next"]["chunks"] += totals["c"] or 0
@@ -213,10 +219,20 @@ class Catalog:
         fresh = known.join(listing.select("path", "id", "chunk_base"), "path")
         new_files = fresh.select("id", F.lit(row["id"]).alias("corpus_id"), "path", "source_path", "description", "mtime", "size", F.col("chunk_count").cast("int").alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
         chunks = fresh.select(F.col("id").alias("file_id"), "chunk_base", F.inline("_c")).withColumn("id", F.col("chunk_base") + F.col("position"))
-        embeddings = chunks.select(F.lit(row["id"]).alias("corpus_id"), F.col("id").alias("chunk_id"), vectors.normalize(embed(F.col("text"), embedder)).cast("array<float>").alias("embedding"))
+        embeddings = chunks.select(F.lit(row["id"]).alias("corpus_id"), F.col("id").alias("chunk_id"), embed(F.col("text"), embedder).alias("embedding"))
         self._commit(state, {"files": kept.unionByName(new_files)}, {"chunks": chunks, "embeddings": embeddings})
         return staged.select("path", "chunk_count")
 
+    def _with_ids(self, rows: DataFrame, first_id: int, first_chunk: int) -> DataFrame:
+        """id and chunk_base (the first chunk's id) in order of path, from per-partition sums."""
+        ordered = self.staged(rows.repartitionByRange("path").sortWithinPartitions("path").withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+        base = ordered.groupBy("_p").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("c")).select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_s"))
+        own = Window.partitionBy("_p").orderBy("_m")
+        inner = F.coalesce(F.sum("chunk_count").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return ordered.withColumn("_i", F.row_number().over(own) - 1).withColumn("_w", inner).join(F.broadcast(base), "_p").select(
+            "path", "chunk_count", (F.lit(first_id) + F.col("_n") + F.col("_i")).cast("long").alias("id"), (F.lit(first_chunk) + F.col("_s") + F.col("_w")).cast("long").alias("chunk_base"))
+
     def remove_file(self, corpus: str, path: str) -> None:
         row = self.file(corpus, path)
         state = self._state()
@@ -238,17 +254,6 @@ class Catalog:
         self._commit(state, {"files": changed})
 
 
-def _with_ids(rows: DataFrame, key: str, first_id: int, first_chunk: int) -> DataFrame:
-    """id and chunk_base (the first chunk's id) in order of key, from per-partition sums."""
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = ordered.groupBy("_p").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("c")).select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_s"))
-    own = Window.partitionBy("_p").orderBy("_m")
-    inner = F.coalesce(F.sum("chunk_count").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ordered.withColumn("_i", F.row_number().over(own) - 1).withColumn("_w", inner).join(F.broadcast(base), "_p").select(
-        key, "chunk_count", (F.lit(first_id) + F.col("_n") + F.col("_i")).cast("long").alias("id"), (F.lit(first_chunk) + F.col("_s") + F.col("_w")).cast("long").alias("chunk_base"))
-
-
 # -- plans over tables, used by the catalog and the registry --------------------------------------
 def corpus_stats(corpora: DataFrame, files: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Each corpus with its files and chunks counted; corpora without files have zeros."""
