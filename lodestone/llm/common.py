@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -70,3 +72,39 @@ def numbered(df: DataFrame, order: list[str], name: str, total: str | None = Non
 def n_words(text):
     """Number of words of a text column (null: 0), JVM-side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
+def task(run):
+    """Wrap a function over Arrow batches so that its worker is small again after the task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def group_task(run):
+    """The same for a function over the rows of a group."""
+
+    def wrapped(key: tuple, pdf: "pd.DataFrame") -> "pd.DataFrame":  # noqa: F821
+        try:
+            return run(key, pdf)
+        finally:
+            _release()
+
+    return wrapped

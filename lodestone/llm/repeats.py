@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import gram_hashes, joined, mix, running, substring_hashes
-from .common import written
+from .common import group_task, task, written
 from .suffixes import deep_shallow
 from .tokens import slices
 
@@ -103,7 +103,7 @@ def _scan(texts: DataFrame, n_fragments: int, length: int, gram: int) -> DataFra
                     rows.append(np.array([len(used), len(o)], np.int64).tobytes() + key[used].tobytes() + counts[used].tobytes() + place[o].tobytes() + h[o].tobytes() + around[o].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(range(n_fragments), pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
 
-    return texts.mapInArrow(run, "frag int, payload binary")
+    return texts.mapInArrow(task(run), "frag int, payload binary")
 
 
 def _repeated(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +157,7 @@ def _contexts(marked: DataFrame, length: int, gram: int) -> DataFrame:
                 k = len(place)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(k, batch.column("key")[i].as_py())), pa.array(place), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array((packed & 1) == 0)], names=["h", "key", "place", "left", "right", "single"])
 
-    return marked.mapInArrow(run, "h long, key long, place long, left binary, right binary, single boolean")
+    return marked.mapInArrow(task(run), "h long, key long, place long, left binary, right binary, single boolean")
 
 
 def _table(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,7 @@ def _compare(length: int, gram: int):
 
 def _counted_strings(hot: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for grams of very many anchors, without a task that holds them all: each string around
-    an anchor is a row under its hash, counted before and after the shuffle."""
+    an anchor is a row under its hash; its first and last places are found before and after the shuffle."""
 
     def run(batches):
         for batch in batches:
@@ -216,8 +216,9 @@ def _counted_strings(hot: DataFrame, length: int, gram: int) -> DataFrame:
                 start = batch.column("place")[i].as_py() - len(left) + np.arange(k)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(k, batch.column("key")[i].as_py())), pa.array(start), pa.array(np.full(k, batch.column("single")[i].as_py()))], names=["s", "key", "a", "single"])
 
-    rows = hot.mapInArrow(run, "s long, key long, a long, single boolean")
-    often = rows.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s")
+    rows = hot.mapInArrow(task(run), "s long, key long, a long, single boolean")
+    place = F.struct("key", "a")  # near anchors show one string twice: it takes two places
+    often = rows.groupBy("s").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("s")
     return rows.filter("single").join(often, "s").select("key", "a", (F.col("a") + length).alias("b"))
 
 
@@ -226,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spans (a, b) of repeated strings around the others."""
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_fragments = max(1, -(-(2 * size // (length - gram)) // FRAGMENT))
-    found = _scan(docs.select("key", "t"), n_fragments, length, gram).groupBy("frag").applyInPandas(_repeated, "key long, places binary")
+    found = _scan(docs.select("key", "t"), n_fragments, length, gram).groupBy("frag").applyInPandas(group_task(_repeated), "key long, places binary")
     found = written(found.groupBy("key").agg(F.collect_list("places").alias("parts")), "anchors")
     texts = docs.groupBy("key").agg(F.first("t").alias("t"))
     around = written(_contexts(texts.join(found, "key"), length, gram), "contexts")
@@ -235,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     n_hot = hot.count()
     n_groups = max(1, -(-around.count() // GROUP))
     rest = around if not n_hot else around.join(hot, "h", "left_anti")
-    spans = rest.groupBy(F.pmod(F.xxhash64("h"), F.lit(n_groups)).alias("g")).applyInPandas(_compare(length, gram), "key long, a long, b long")
+    spans = rest.groupBy(F.pmod(F.xxhash64("h"), F.lit(n_groups)).alias("g")).applyInPandas(group_task(_compare(length, gram)), "key long, a long, b long")
     if n_hot:
         spans = spans.unionByName(_counted_strings(around.join(hot, "h", "left_semi"), length, gram))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -285,4 +286,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
-    return joined_.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
+    return joined_.mapInArrow(task(run), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary")
