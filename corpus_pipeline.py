@@ -14,7 +14,7 @@ from lodestone.llm.queries import PACK_END_ID, tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the policy rejects."""
-    return quality.apply_policy(quality.ledger(docs), "web-1").filter("kept").select(*docs.columns)
+    return quality.kept_documents(quality.ledger(docs), "web-1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
-    return d.withColumn("failed_bits", out.cast("int"))
+    # The row number is there for the optimiser alone: without it, a filter on the bits would be moved
+    # below the measurements with all of their expressions copied into it, many times over.
+    return d.withColumn("failed_bits", F.when(F.monotonically_increasing_id() >= 0, out.cast("int")))
 
 
 def apply_policy(led: DataFrame, policy: str = "web-1") -> DataFrame:
@@ -89,6 +91,11 @@ def apply_policy(led: DataFrame, policy: str = "web-1") -> DataFrame:
     return led.withColumn("kept", F.col("failed_bits").bitwiseAND(mask(POLICIES[policy])) == 0)
 
 
+def kept_documents(led: DataFrame, policy: str = "web-1") -> DataFrame:
+    """Rows of the ledger that the policy keeps."""
+    return apply_policy(led, policy).filter("kept").drop("kept")
+
+
 def ablation(led: DataFrame, policy: str = "web-1") -> DataFrame:
     """Per rule of the policy: documents it fails, and documents only it rejects (kept without it).
 
