@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import task
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -218,4 +220,4 @@ def main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     d = pages.select(*rest, F.col(html_column).alias("_html"))
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]), "text string", "n_chars long"])
-    return d.mapInArrow(run, kind)
+    return d.mapInArrow(task(run), kind)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytehash import joined
+from .common import task
 from .tokens import slices
 
 #: Hashed n-grams of one, two and three bytes share so many features.
@@ -106,7 +107,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             for part in slices(batch, "t", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("l"), pa.array([r.tobytes() for r in features(part.column("t")).astype(np.float16)], pa.binary())], names=["l", "x"])
 
-    got = sorted((r["l"], bytes(r["x"])) for r in rows.select("t", "l").mapInArrow(run, "l string, x binary").collect())
+    got = sorted((r["l"], bytes(r["x"])) for r in rows.select("t", "l").mapInArrow(task(run), "l string, x binary").collect())
     x = np.stack([np.frombuffer(b, np.float16) for _, b in got]).astype(np.float32)
     y = np.array([languages.index(name) for name, _ in got])
     code = codewords(len(languages))
@@ -156,4 +157,4 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     yield pa.RecordBatch.from_arrays([sub.column("d"), sub.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(close)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("d"), in_fold(doc_id).alias("held_out"), F.col(text).alias("t"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return d.mapInArrow(task(run), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, written
+from .common import WORD, n_words, task, written
 
 _WORDS = re.compile(WORD)
 
@@ -91,7 +91,7 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
             src = owner[np.searchsorted(ends, at, "right")]
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(src), pa.array(t // _CHUNK)], names=["t", "src", "c"])
 
-    slots = spark.range(0, 3 * n_slots).mapInArrow(draw, "t long, src int, c long")
+    slots = spark.range(0, 3 * n_slots).mapInArrow(task(draw), "t long, src int, c long")
     counts = slots.groupBy("src", "c").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = F.row_number().over(Window.partitionBy("src", "c").orderBy("t")) - 1
@@ -148,16 +148,20 @@ def mixed_documents(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text
     """Rows of docs as the mix takes them: one row for each pass over a document, none where it takes no
     words, and the text cut after its last word taken where the source's quota ends within it."""
     _, pieces = mix(docs, seed, doc_id, text, source)
-    taken = written(pieces.groupBy("_row", F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "p", "size").agg(F.sum("words").alias("_words")), "taken")
+    taken = written(pieces.groupBy("_row", F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "p", F.col("size").alias("size_")).agg(F.sum("words").alias("_words")), "taken")
     keyed = docs.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"])
     rows = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")))
-    whole = rows.filter("_words >= size").select(*docs.columns)
     names = docs.columns
 
     def cut(batches):
         for batch in batches:
-            texts = [t[:next(itertools.islice(_WORDS.finditer(t), n - 1, None)).end()] for t, n in zip(batch.column(text).to_pylist(), batch.column("_words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
-
-    part = rows.filter("_words < size").select(*names, "_words").mapInArrow(cut, docs.schema)
-    return whole.unionByName(part)
+            words, size = batch.column("_words").to_numpy(), batch.column("size_").to_numpy()
+            texts = batch.column(text)
+            if (words < size).any():
+                texts = texts.to_pylist()
+                for i in np.flatnonzero(words < size):
+                    texts[i] = texts[i][:next(itertools.islice(_WORDS.finditer(texts[i]), int(words[i]) - 1, None)).end()]
+                texts = pa.array(texts, batch.schema.field(text).type)
+            yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names=names)
+
+    return rows.select(*names, "_words", "size_").mapInArrow(task(cut), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import task, written
 from .tokens import encoder, slices
 from .token_file import with_end
 
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(schema))
 
-    out = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(task(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumn("_task", F.spark_partition_id())
 
 
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     shape = [f for f in ranked.schema.fields if f.name != "_rank"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, kind)
+    return ranked.mapInArrow(task(place), kind)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, task, written
 from .tokens import encoder, slices
 
 MAGIC = b"LDTK0001"
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     ordered = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d", "t")
-    manifest = written(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = written(ordered.mapInArrow(task(run), "shard int, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -176,4 +176,4 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     a = b
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return manifest.repartition(n).mapInArrow(task(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
