@@ -52,8 +52,8 @@ def _score(n_terms: int, repeats: list[int]) -> Column:
     return total
 
 
-def search(chunks: DataFrame, query: str, k: int, scope: Column | None = None, key: str = "chunk_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """The k best chunks: key, extra columns, score.  Ties in order of the key; no terms, no rows.
+def scores(chunks: DataFrame, query: str, scope: Column | None = None, key: str = "chunk_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """All chunks with a term of the query: key, extra columns, score.  No terms, no rows.
 
     Texts are tokenised once a pass; what is kept of a chunk is its length and one count per term, and
     chunks without a term are dropped before scores.  Statistics are one row.
@@ -67,8 +67,12 @@ def search(chunks: DataFrame, query: str, k: int, scope: Column | None = None, k
     hit = counted.filter(F.exists("tf", lambda x: x > 0))
     if scope is not None:
         hit = hit.filter(scope)
-    scored = hit.crossJoin(F.broadcast(stats)).select(key, *extra, _score(len(names), repeats).alias("score"))  # stats: one row
-    return scored.orderBy(F.desc("score"), key).limit(k)
+    return hit.crossJoin(F.broadcast(stats)).select(key, *extra, _score(len(names), repeats).alias("score"))  # stats: one row
+
+
+def search(chunks: DataFrame, query: str, k: int, scope: Column | None = None, key: str = "chunk_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """The k best chunks: key, extra columns, score.  Ties in order of the key."""
+    return scores(chunks, query, scope, key, text, extra).orderBy(F.desc("score"), key).limit(k)
 
 
 def build_postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -52,7 +52,7 @@ def search_grouped(chunks: DataFrame, embeddings: DataFrame, query: str, vector:
         near = embeddings.select("corpus", "chunk_id", dist.alias("distance")).withColumn("_r", rank).filter(F.col("_r") <= n).withColumn("score", vectors.score(F.col("distance")))
         lists.append(fusion.ranked(near, 0, "chunk_id", "distance", ascending=True, within=("corpus",)))
     if mode != "dense":
-        best = bm25.search(chunks, query, 2**31 - 1, None, "chunk_id", extra=("corpus",))
+        best = bm25.scores(chunks, query, None, "chunk_id", extra=("corpus",))
         rank = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("score"), "chunk_id"))
         best = best.withColumn("_r", rank).filter(F.col("_r") <= n)
         lists.append(fusion.ranked(best, 1, "chunk_id", within=("corpus",)))
