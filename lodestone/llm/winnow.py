@@ -18,6 +18,8 @@ K, W = 12, 32
 #: Windows handled at a time; only what they select is kept, so a very long text needs little more memory.
 _BLOCK = 2048
 _PLACES = (1 << 31) - 1
+#: Ranges of doc_id that documents are dealt into at the most: a bound of what the driver and plans hold.
+MOST_BUCKETS = 1 << 16
 
 
 def _let(value: Column, body) -> Column:
@@ -102,15 +104,30 @@ def _shifted(sel: Column, by: Column) -> Column:
     return F.transform(sel, lambda x: x - by)
 
 
-def _buckets(ids: DataFrame, rows: int) -> list[int]:
-    """Bounds that deal the ids into buckets of about ``rows`` rows: as many numbers as buckets."""
-    n = ids.count() // rows
+def _bounds(ids: DataFrame, rows: int) -> list[int]:
+    """Ascending bounds that deal the ids into buckets of about ``rows`` rows, MOST_BUCKETS at most."""
+    n = min(ids.count() // rows, MOST_BUCKETS - 1)
     if n < 1:
         return []
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / (n + 1) for i in range(1, n + 1)], 100 * (n + 1))).first()[0]
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / (n + 1) for i in range(1, n + 1)], 20 * (n + 1))).first()[0]
     return sorted(set(cuts or []))
 
 
+def _further(listed: Column, value: Column, step: int):
+    return lambda x: F.when(F.get(listed, x + (step - 1)) <= value, x + step).otherwise(x)
+
+
+def _bucket(value: Column, bounds: list[int]) -> Column:
+    """How many of the bounds are not above the value, by bisection; null: 0."""
+    at = F.lit(0)
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    step = 1 << max(0, len(bounds).bit_length() - 1)
+    while bounds and step:
+        at = _let(at, _further(listed, value, step))
+        step //= 2
+    return at
+
+
 def compared_with_next(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id", text: str = "text", rows: int = 1000) -> DataFrame:
     """Each text, its edited text (the last quarter replaced by the start of the next text) and the next
     text, by their fingerprints: doc_id, n_chars, edited (text), sel, edited_sel, near_edited, near_next.
@@ -125,15 +142,16 @@ def compared_with_next(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "d
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("h"))
     ids = written(docs.select("doc_id", "h"), "ids")
-    bounds = _buckets(ids, rows)
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket)
+    bucket = _bucket(F.col("doc_id"), _bounds(ids, rows))
     firsts = ids.withColumn("b", bucket).groupBy("b").agg(F.min(F.struct("doc_id", "h")).alias("f")).orderBy("b").collect()
     ghosts = [(r["f"]["doc_id"], r["f"]["h"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]  # one row a bucket
     ghosts = spark.createDataFrame(ghosts or [(None, 0, 0)], "g_id long, g_h long, g_b int")
     own = docs.withColumn("b", bucket)
     copies = own.join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h"))).select("doc_id", "t", "h", F.col("g_b").alias("b"), F.lit(1).alias("ghost"))
     dealt = own.select("doc_id", "t", "h", "b", F.lit(0).alias("ghost")).unionByName(copies).repartition("b")
+    # sorted while rows are texts only; projections keep the order, so the window sorts nothing again
+    by = ["ghost", F.col("doc_id").asc_nulls_first(), "h"]
+    dealt = dealt.sortWithinPartitions("b", *by)
 
     span = k + w - 1
     n = F.length("t")
@@ -144,7 +162,7 @@ def compared_with_next(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "d
     tail = _tail(F.substring("t", F.col("cut") + 1, F.col("n")), k, w)
     d = d.withColumn("sel", F.array_distinct(F.concat("shared", _shifted(tail, F.col("cut")))))
     d = d.withColumn("hashes", F.array_distinct(hashes(F.col("sel"))))
-    order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h")
+    order = Window.partitionBy("b").orderBy(*by)
     d = d.withColumn("next", F.lead(F.struct("t", "hashes")).over(order)).filter("ghost = 0")
     d = d.withColumn("edited", F.concat(F.left("t", F.col("n") - F.col("q")), F.left("next.t", F.col("q"))))
     tail = _tail(F.substring("edited", F.col("cut") + 1, F.col("n")), k, w)
