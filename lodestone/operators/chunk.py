@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from ..schemas import CHUNK_STRUCT
 
 LEGACY_BUDGET, LEGACY_OVERLAP = 2048, 205
-_AROUND = re.compile(r"^[\s\x85​]+|[\s\x85​]+\Z")
 _SENTENCE = re.compile(r"[.!?] ")
 
 
@@ -47,8 +47,6 @@ def chunk_text(text: str | None, size: int = LEGACY_BUDGET, overlap: int = LEGAC
     def point(u: int) -> int:  # code point that holds unit u
         if not units:
             return u
-        import bisect
-
         return min(len(text), bisect.bisect_right(units, u) - 1)
 
     out, start = [], 0

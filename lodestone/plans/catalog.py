@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..embed import Embedder, spec_of
+from ..embed import Embedder, embed
 from ..errors import CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
 from ..operators.chunk import budget, chunks as chunk_column
 from ..schemas import MODEL_SOURCES, TABLES
@@ -201,8 +201,6 @@ class Catalog:
         model = self.model(row["model_id"])
         if embedder.dimensions != model["dimensions"]:
             raise DimensionMismatch(model["dimensions"], embedder.dimensions)
-        from ..embed import embed
-
         state = self._state()
         size, overlap = budget(embedder.max_input_tokens)
         cut = entries.withColumn("_c", chunk_column(F.col("text"), size, overlap)).drop("text").withColumn("chunk_count", F.size("_c"))
@@ -289,5 +287,3 @@ def refresh_plan(stored: DataFrame, disk: DataFrame, key: str = "path") -> DataF
     action = F.when(F.col("_d").isNull(), "removed").when(F.col("_s").isNull(), "new").when(F.col("_d") > F.col("_s"), "updated").otherwise("kept")
     return s.join(d, key, "full_outer").select(key, action.alias("action"))
 
-
-__all__ = ["Catalog", "corpus_stats", "insert_or_ignore", "latest", "model_usage", "refresh_plan", "resolve_root", "spec_of"]
