@@ -1,15 +1,16 @@
-"""Shared helpers: written tables that cut lineage, global numbering without a single task, reading."""
+"""Shared helpers: written tables that cut lineage, word counts, and memory of Python workers."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of every contract here: runs of characters other than space and the controls 9 to 13.
@@ -46,34 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, order: list[str], name: str, total: str | None = None) -> DataFrame:
-    """Add ``name``, the 0-based place of each row in ascending ``order``, with no single-task window.
-
-    Rows are range partitioned and sorted; each task numbers its rows, and the tasks' row counts (one
-    row per task, the only thing broadcast) give the offsets.  Rows equal in ``order`` get neighbouring
-    places.  ``total`` names a long column: ``<name>_sum`` is then its sum over all rows before.
-    """
-    low = (1 << 33) - 1
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    d = written(d, "numbered").withColumn("_part", F.shiftright("_mid", 33))
-    sums = [F.count("*").alias("_n")] + ([F.sum(total).alias("_s")] if total else [])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = d.groupBy("_part").agg(*sums).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
-        *([F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_sbase")] if total else []))
-    d = d.join(F.broadcast(base), "_part")
-    d = d.withColumn(name, F.col("_base") + F.col("_mid").bitwiseAND(low))
-    if total:
-        inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn(f"{name}_sum", F.col("_sbase") + F.coalesce(F.sum(total).over(inside), F.lit(0)))
-    return d.drop("_mid", "_part", "_base", "_n", "_s", "_sbase")
-
-
 def n_words(text):
     """Number of words of a text column (null: 0), JVM-side."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of so many rows at the most for what runs inside: texts are long, and a batch is in
+    memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _release() -> None:
     """Give freed memory back to the system: Python workers live on between tasks."""
     import pyarrow as pa

@@ -22,7 +22,8 @@ def multikey_quicksort(words: np.ndarray, index: np.ndarray, depth: int, last: i
             out.append(idx)
             continue
         w = words[idx, d]
-        pivot = np.partition(w[:: max(1, len(w) // 31)], len(w[:: max(1, len(w) // 31)]) // 2)[len(w[:: max(1, len(w) // 31)]) // 2]
+        some = np.sort(w[:: max(1, len(w) // 31)])
+        pivot = some[len(some) // 2]
         less, more = w < pivot, w > pivot
         # what comes last in the order goes on the stack first
         if more.any():
