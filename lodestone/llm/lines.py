@@ -17,24 +17,25 @@ RATIO_PERCENT, LEAST = 5, 5
 BROADCAST_ROWS = 100_000
 
 
-def _key(line: Column) -> Column:
-    """Two hashes and the length stand for a line without the white space around it."""
-    line = F.btrim(line, F.lit(_SPACE))
-    return F.struct(F.xxhash64(line).alias("x"), F.hash(line).alias("m"), F.length(line).alias("n"))
+def _lines(text: str) -> Column:
+    """Lines of a text as structs: as they are, and without the white space around them.  Empty there: no
+    word, never counted or dropped."""
+    return F.transform(F.split(F.col(text), "\\n", -1), lambda x: F.struct(x.alias("line"), F.btrim(x, F.lit(_SPACE)).alias("bare")))
 
 
-def _has_word(line: Column) -> Column:
-    return F.length(F.translate(line, _SPACE, "")) > 0
+def _with_word(lines: Column) -> Column:
+    return F.filter(lines, lambda x: x["bare"] != "")
 
 
 def boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int = LEAST, text: str = "text", site: str = "source") -> DataFrame:
-    """Lines to drop: site, key, n_docs, n_site.
+    """Lines to drop: site, key (hash of the line without white space around it), n_docs, n_site.
 
     Distinct lines of a document are counted once.  Counts are summed in every task before the shuffle,
     so a line or site that a third of all rows share costs a row per task.
     """
-    lines = F.array_distinct(F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\\n", -1), _has_word), _key))
-    found = docs.select(F.col(site).cast("string").alias("site"), F.explode(lines).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n_docs"))
+    rows = docs.select(F.col(site).cast("string").alias("site"), _lines(text).alias("_l"))
+    keys = F.array_distinct(F.transform(_with_word(F.col("_l")), lambda x: F.xxhash64(x["bare"])))
+    found = rows.select("site", F.explode(keys).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n_docs"))
     sites = docs.groupBy(F.col(site).cast("string").alias("s")).agg(F.count("*").alias("n_site"))
     return found.filter(F.col("n_docs") >= least).join(sites, F.col("site").eqNullSafe(F.col("s"))).filter(F.col("n_docs") * 100 > F.col("n_site") * percent).drop("s")
 
@@ -48,21 +49,19 @@ def drop_boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int =
     """
     docs = docs.drop("n_lines", "n_dropped")
     found = written(boilerplate(docs, percent, least, text, site), "lines")
-    lines = F.split(F.col(text), "\\n", -1)
+    d = docs.withColumn("_l", _lines(text))
     if found.count() <= BROADCAST_ROWS:
         keys = found.groupBy("site").agg(F.collect_list("key").alias("_keys")).withColumnRenamed("site", "_site")
-        d = docs.join(F.broadcast(keys), docs[site].cast("string").eqNullSafe(F.col("_site")), "left").drop("_site")
-        rest = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~_has_word(x) | ~F.array_contains(F.col("_keys"), _key(x))))
-        d = d.withColumn("_rest", rest)
+        d = d.join(F.broadcast(keys), d[site].cast("string").eqNullSafe(F.col("_site")), "left").drop("_site")
+        rest = F.filter("_l", lambda x: (x["bare"] == "") | ~F.array_contains(F.col("_keys"), F.xxhash64(x["bare"])))
+        d = d.withColumn("_rest", F.when(F.col("_keys").isNull(), F.col("_l")).otherwise(rest))
     else:
-        rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        parts = rows.select("_row", F.col(site).cast("string").alias("_site"), F.posexplode(lines).alias("_i", "_line")).withColumn("_key", F.when(_has_word(F.col("_line")), _key(F.col("_line"))))
+        rows = written(d.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        parts = rows.select("_row", F.col(site).cast("string").alias("_site"), F.posexplode("_l").alias("_i", "_x")).withColumn("_key", F.when(F.col("_x.bare") != "", F.xxhash64("_x.bare")))
         drop = found.select(F.col("site"), F.col("key"), F.lit(True).alias("_drop"))
         kept = parts.join(drop, F.col("_site").eqNullSafe(F.col("site")) & (F.col("_key") == F.col("key")), "left").filter("_drop IS NULL")
-        kept = kept.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda x: x["_line"]).alias("_rest"))
-        empty = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
-        d = rows.join(kept, "_row", "left").withColumn("_rest", F.coalesce("_rest", empty)).drop("_row")
-    with_word = F.coalesce(F.size(F.filter(lines, _has_word)), F.lit(0))
-    left = F.coalesce(F.size(F.filter(F.col("_rest"), _has_word)), F.lit(0))
-    d = d.withColumn("n_lines", with_word.cast("long")).withColumn("n_dropped", (F.col("n_lines") - left).cast("long"))
-    return d.withColumn(text, F.array_join("_rest", "\n")).drop("_rest", "_keys").select(*docs.columns, "n_lines", "n_dropped")
+        kept = kept.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("_rest"))
+        d = rows.join(kept, "_row", "left").withColumn("_rest", F.coalesce("_rest", F.slice("_l", 1, 0))).drop("_row")
+    n = lambda lines: F.greatest(F.size(lines), F.lit(0)).cast("long")  # noqa: E731  null text: no lines
+    d = d.withColumns({"n_lines": n(_with_word(F.col("_l"))), "n_dropped": n(F.col("_l")) - n(F.col("_rest"))})
+    return d.withColumn(text, F.array_join(F.transform("_rest", lambda x: x["line"]), "\n")).select(*docs.columns, "n_lines", "n_dropped")
