@@ -8,6 +8,7 @@ space are encoded in one go instead, so the ids are those of the whole text in e
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -39,11 +40,11 @@ class Encoder:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum())), lens
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lens.sum())), lens
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All known ids, and the start and length of each piece in them."""
-        at = np.fromiter((self.place.get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.place.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(at < 0)
         ids, ends = self.ids, self.ends
         if len(new):
