@@ -9,8 +9,9 @@ results per document or per pair, and the partial counts are summed.
 2. Among these, shingles are ordered by frequency.  Two sets that link share one of the first
    n - ceil(t * n) + 1 shingles of each (prefix); sets that share one form a list.
 3. Fragments count the overlaps of some sets, the queries, with all sets; summed per pair they give the
-   exact Jaccard values and so the links.  First queries are a few leaders of each list.  Then, in every
-   list, the sets outside its largest component that have not been queries are queries too.  After
+   exact Jaccard values and so the links.  First queries are a few leaders of each cluster of lists.
+   A set is open if it was no query and stands outside the component that has most such sets of one of
+   its lists; next queries are leaders of the open sets, and in the last turn all that are open.  After
    that no pair of a list is left open: one of the two was a query, or both are in one component.
 
 So components are exact, while a group of near copies costs a few queries a set instead of all pairs.
@@ -28,19 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import shingle_sets
-from .common import written
+from .common import group_task, small_batches, task, written
 from .components import components
 from .tokens import slices
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Shingles that a fragment holds on average; the number of fragments follows from the data.
-FRAGMENT = 3_000_000
-_SEEDS = 8
+FRAGMENT = 1_500_000
+#: The same where overlaps of pairs are counted, and pair increments made at a time.
+JOIN_FRAGMENT, INCREMENTS = 1_000_000, 500_000
+#: Bytes of text shingled at a time.
+SCAN_BYTES = 1_500_000
+#: Leaders of a large cluster in a turn, and turns; in the last one all open sets are queries.
+_SEEDS, _TURNS = 5, 3
 
 
-def _fragments(total: int) -> int:
-    return max(1, -(-total // FRAGMENT))
+def _fragments(total: int, each: int = FRAGMENT) -> int:
+    return max(1, -(-total // each))
 
 
 def _cuts(n: int) -> np.ndarray:
@@ -63,7 +69,7 @@ def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     def run(batches):
         task = -1 - TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "t", 4 << 20):
+            for part in slices(batch, "t", SCAN_BYTES):
                 sets = shingle_sets(part.column("t"), words)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 cid = np.fromiter((_class_id(s) if len(s) else 0 for s in sets), np.int64, len(sets))
@@ -87,30 +93,51 @@ def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
                         rows.append(np.array([len(used)], np.int64).tobytes() + ids[used].tobytes() + counts[used].tobytes() + place[ends[f]:ends[f + 1]].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
 
-    return docs.mapInArrow(run, "frag int, payload binary")
-
-
-def _shared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members as they are; per class the number of shingles of this fragment that another class has too."""
-    if key[0] < 0:
-        parts = [pa.ipc.open_stream(p).read_all() for p in pdf["payload"]]
-        return pa.concat_tables(parts).to_pandas(types_mapper=pd.ArrowDtype).assign(shared=pd.NA)
-    ids, counts, places = [], [], []
-    for p in pdf["payload"]:
-        k = int(np.frombuffer(p, np.int64, 1)[0])
-        ids.append(np.frombuffer(p, np.int64, k, 8))
-        counts.append(np.frombuffer(p, np.uint32, k, 8 + 8 * k))
-        places.append(np.frombuffer(p, np.uint32, -1, 8 + 12 * k))
-    classes, who = np.unique(np.concatenate(ids), return_inverse=True)
-    pairs = (np.concatenate(places).astype(np.uint64) << np.uint64(32)) | np.repeat(who, np.concatenate(counts)).astype(np.uint64)
-    pairs.sort()
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
-    place = pairs >> np.uint64(32)
-    same = place[1:] == place[:-1]
-    also = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(place) else np.zeros(0, bool)
-    n = np.bincount((pairs[also] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
-    hit = n > 0
-    return pd.DataFrame({"cid": classes[hit], "doc_id": pd.NA, "h": pd.NA, "n": pd.NA, "shared": n[hit]})
+    return docs.mapInArrow(task(run), "frag int, payload binary")
+
+
+def _shared(n_buckets: int):
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Members as they are; per bucket of classes, one row of class ids and the numbers of their
+        shingles in this fragment that another class has too."""
+        if key[0] < 0:
+            return pd.DataFrame({"bucket": -1, "payload": pdf["payload"]})
+        ids, counts, places = [], [], []
+        for p in pdf["payload"]:
+            k = int(np.frombuffer(p, np.int64, 1)[0])
+            ids.append(np.frombuffer(p, np.int64, k, 8))
+            counts.append(np.frombuffer(p, np.uint32, k, 8 + 8 * k))
+            places.append(np.frombuffer(p, np.uint32, -1, 8 + 12 * k))
+        classes, who = np.unique(np.concatenate(ids), return_inverse=True)
+        pairs = (np.concatenate(places).astype(np.uint64) << np.uint64(32)) | np.repeat(who, np.concatenate(counts)).astype(np.uint64)
+        pairs.sort()
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        place = pairs >> np.uint64(32)
+        same = place[1:] == place[:-1]
+        also = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(place) else np.zeros(0, bool)
+        n = np.bincount((pairs[also] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
+        bucket = np.where(n > 0, classes % n_buckets, -1)
+        rows = [(b, classes[bucket == b].tobytes() + n[bucket == b].tobytes()) for b in range(n_buckets)]
+        return pd.DataFrame([r for r in rows if r[1]], columns=["bucket", "payload"])
+
+    return count
+
+
+def _members(state: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for p in batch.column("payload"):
+                yield from pa.ipc.open_stream(p.as_py())
+
+    return state.filter("bucket < 0").mapInArrow(task(run), "cid long, doc_id long, h long, n long")
+
+
+def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The partial numbers of a bucket's classes, summed."""
+    parts = [np.frombuffer(p, np.int64).reshape(2, -1) for p in pdf["payload"]]
+    both = np.concatenate(parts, axis=1)
+    classes, who = np.unique(both[0], return_inverse=True)
+    return pd.DataFrame({"cid": classes, "shared": np.bincount(who, both[1], len(classes)).astype(np.int64)})
 
 
 def _split(sets: DataFrame, n_fragments: int, extra: list[str]) -> DataFrame:
@@ -133,7 +160,7 @@ def _split(sets: DataFrame, n_fragments: int, extra: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(frag, pa.int32()), *(batch.column(c).take(take) for c in names), pa.array(payload, pa.binary())], names=["frag", *names, "payload"])
 
     kinds = dict(sets.dtypes)
-    return sets.mapInArrow(run, "frag int, " + ", ".join(f"{c} {kinds[c]}" for c in names) + ", payload binary")
+    return sets.mapInArrow(task(run), "frag int, " + ", ".join(f"{c} {kinds[c]}" for c in names) + ", payload binary")
 
 
 def _frequencies(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -168,20 +195,22 @@ def _prefixes(grouped: DataFrame, percent: int) -> DataFrame:
             if cid:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle)), pa.array(np.concatenate(cid))], names=["shingle", "cid"])
 
-    return grouped.mapInArrow(run, "shingle long, cid long")
+    return grouped.mapInArrow(task(run), "shingle long, cid long")
 
 
 def _overlaps(percent: int):
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Partial overlaps of this fragment: (a, b, na, nb, overlap) for queries a and any set b whose
-        size allows a link."""
+        """Partial overlaps of this fragment, a row for each query a: packed (b, nb, overlap) for sets b that
+        the sizes allow to link: those of the sets, and those of what they have in other fragments."""
         sets = [np.frombuffer(p, np.uint64) for p in pdf["payload"]]
         n, query = pdf["n"].to_numpy(), pdf["query"].to_numpy()
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(flat, kind="stable")
+        _, cluster = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
+        order = np.lexsort((flat, cluster[who]))
         flat, who = flat[order], who[order]
-        start = np.concatenate([[True], flat[1:] != flat[:-1]])
+        start = np.ones(len(flat), bool)  # a shingle of one cluster: no link leads out of it
+        start[1:] = (flat[1:] != flat[:-1]) | (cluster[who[1:]] != cluster[who[:-1]])
         run = np.cumsum(start) - 1
         first = np.flatnonzero(start)
         length = np.diff(np.concatenate([first, [len(flat)]]))
@@ -189,39 +218,67 @@ def _overlaps(percent: int):
         mine = mine[np.argsort(who[mine], kind="stable")]
         _, q_start = np.unique(who[mine], return_index=True)
         q_stop = np.append(q_start[1:], len(mine)).astype(np.int64)
-        block = np.cumsum(length[run[mine]])[q_stop - 1] // 2_000_000 if len(mine) else q_start
+        block = np.cumsum(length[run[mine]])[q_stop - 1] // INCREMENTS if len(mine) else q_start
         out, m = [], len(sets)
-        for k in np.unique(block):  # whole queries, about 2 million increments at a time
+        for k in np.unique(block):  # whole queries, about INCREMENTS increments at a time
             own = np.flatnonzero(block == k)
             part = mine[q_start[own[0]]:q_stop[own[-1]]]
             reps = length[run[part]]
             off = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
             pair, c = np.unique(np.repeat(who[part], reps) * m + who[np.repeat(first[run[part]], reps) + off], return_counts=True)
             x, y = pair // m, pair % m
-            fits = (x != y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            elsewhere = np.minimum(n[x] - size[x], n[y] - size[y])
+            fits = (x != y) & ((100 + percent) * (c + elsewhere) >= percent * (n[x] + n[y]))
             out.append((x[fits], y[fits], c[fits]))
-        x, y, c = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
-        cid = pdf["cid"].to_numpy()
-        return pd.DataFrame({"a": cid[x], "b": cid[y], "na": n[x], "nb": n[y], "overlap": c})
+        cid, rows = pdf["cid"].to_numpy(), []
+        for x, y, c in out:
+            cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            both = np.stack([cid[y], n[y], c]).astype(np.int64)
+            rows += [(cid[q], n[q], part.tobytes()) for q, part in zip(x[cut], np.split(both, cut[1:], axis=1))]
+        return pd.DataFrame(rows, columns=["a", "na", "payload"])
 
     return count
 
 
-def links(sets: DataFrame, queries: DataFrame, n_fragments: int, percent: int) -> DataFrame:
-    """All links (a, b) of the query sets: partial overlaps per fragment, summed per pair."""
-    marked = sets.join(queries.select("cid", F.lit(True).alias("query")), "cid", "left").withColumn("query", F.coalesce("query", F.lit(False)))
-    partial = _split(marked, n_fragments, ["query"]).groupBy("frag").applyInPandas(_overlaps(percent), "a long, b long, na long, nb long, overlap long")
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("i"))
-    return total.filter(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+def links(pieces: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) of the query sets within their clusters: partial overlaps per fragment, summed per pair."""
+    marked = pieces.join(queries.select("cid", F.lit(True).alias("query")), "cid", "left").withColumn("query", F.coalesce("query", F.lit(False)))
+    partial = marked.groupBy("frag").applyInPandas(group_task(_overlaps(percent)), "a long, na long, payload binary")
+    bucket = F.pmod(F.xxhash64("a"), F.lit(queries.count() // 500 + 1))
+    return partial.groupBy(bucket).applyInPandas(group_task(_linked(percent)), "a long, b long")
+
+
+def _linked(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The links of a bucket's queries: partial overlaps summed per pair, and compared."""
+        parts = [np.frombuffer(p, np.int64).reshape(3, -1) for p in pdf["payload"]]
+        b, nb, c = np.concatenate(parts, axis=1)
+        size = [p.shape[1] for p in parts]
+        a, na = np.repeat(pdf["a"].to_numpy(), size), np.repeat(pdf["na"].to_numpy(), size)
+        order = np.lexsort((b, a))
+        a, na, b, nb, c = a[order], na[order], b[order], nb[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        i = np.add.reduceat(c, first)
+        hit = 100 * i >= percent * (na[first] + nb[first] - i)
+        return pd.DataFrame({"a": a[first][hit], "b": b[first][hit]})
+
+    return run
+
+
+def _clusters(postings: DataFrame) -> DataFrame:
+    """(cid, cluster): sets that hang together by lists; no link leads out of a cluster."""
+    lists = postings.groupBy("shingle").agg(F.min("cid").alias("low"))
+    stars = postings.join(lists, "shingle").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()
+    return written(components(stars).select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
 
 
-def _leaders(postings: DataFrame) -> DataFrame:
-    """For each set, the leaders of the largest list it is in: members with the lowest hashes."""
+def _leaders(sets: DataFrame, clusters: DataFrame) -> DataFrame:
+    """A few of the sets (cid) of each cluster: those of the lowest hashes, one where there are two or three."""
+    own = sets.select("cid").join(clusters, "cid")
     lows = [F.min(F.struct(F.xxhash64("cid", F.lit(s)).alias("h"), F.col("cid").alias("c"))).alias(f"l{s}") for s in range(_SEEDS)]
-    lists = postings.groupBy("shingle").agg(F.count("*").alias("m"), *lows).filter("m > 1")
-    lists = lists.select("shingle", "m", F.array(*[F.col(f"l{s}.c") for s in range(_SEEDS)]).alias("leaders"))
-    best = postings.join(lists, "shingle").groupBy("cid").agg(F.max(F.struct("m", "shingle", "leaders")).alias("b"))
-    return best.select(F.explode("b.leaders").alias("cid")).distinct()
+    best = own.groupBy("cluster").agg(F.count("*").alias("m"), *lows)
+    few = F.slice(F.array(*[F.col(f"l{s}.c") for s in range(_SEEDS)]), F.lit(1), F.when(F.col("m") < 4, 1).otherwise(_SEEDS))
+    return best.select(F.explode(few).alias("cid")).distinct()
 
 
 def _open(postings: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
@@ -243,13 +300,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
     n_fragments = _fragments(chars // 6)
-    state = written(_scan(docs, n_fragments, words).groupBy("frag").applyInPandas(_shared, "cid long, doc_id long, h long, n long, shared long"), "sets")
-    members = state.filter("shared IS NULL").select("doc_id", "h", "n", "cid")
-    shared = state.filter("shared IS NOT NULL").groupBy("cid").agg(F.sum("shared").alias("shared"))
+    packed = _scan(docs, n_fragments, words).groupBy("frag").applyInPandas(group_task(_shared(-(-n_fragments // 8))), "bucket int, payload binary")
+    with small_batches(docs.sparkSession):
+        state = written(packed, "fragments")
+    members = written(_members(state), "members")
+    shared = state.filter("bucket >= 0").groupBy("bucket").applyInPandas(group_task(_summed), "cid long, shared long")
     classes = members.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n").alias("n"), F.min("doc_id").alias("low"))
     classes = written(classes, "classes")
     able = classes.join(shared, "cid").filter(F.col("shared") * 100 >= F.col("n") * percent).select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("h"))
-    comps = _components_of(docs, able, words, percent)
+    with small_batches(docs.sparkSession):
+        comps = _components_of(docs, able, words, percent)
     named = classes.join(comps, classes["cid"] == comps["node"], "left").select("cid", "rep", "low", F.coalesce("component", "cid").alias("component"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("rep").alias("rep"))
@@ -265,23 +325,32 @@ def _components_of(docs: DataFrame, able: DataFrame, words: int, percent: int) -
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t", 4 << 20):
+            for part in slices(batch, "t", SCAN_BYTES):
                 sets = shingle_sets(part.column("t"), words)
                 yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("n"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "n", "shingles"])
 
     able = able.select("cid", "n", F.col("d").alias("rd"), F.col("h").alias("rh"))
     texts = docs.join(able, docs["d"].eqNullSafe(able["rd"]) & (docs["h"] == able["rh"])).select("cid", "n", "t")
-    sets = written(texts.mapInArrow(run, "cid long, n long, shingles binary").dropDuplicates(["cid"]), "able")
-    n_fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0)
-    common = _split(sets, n_fragments, []).groupBy("frag").applyInPandas(_frequencies, "cid long, n long, payload binary")
+    sets = written(texts.mapInArrow(task(run), "cid long, n long, shingles binary").dropDuplicates(["cid"]), "able")
+    n_fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0, JOIN_FRAGMENT)
+    common = _split(sets, n_fragments, []).groupBy("frag").applyInPandas(group_task(_frequencies), "cid long, n long, payload binary")
     postings = written(_prefixes(common.groupBy("cid", "n").agg(F.collect_list("payload").alias("parts")), percent), "postings")
     # a list of one set has no pair
     lists = postings.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
     postings = written(postings.join(lists, "shingle"), "postings")
-    asked = written(_leaders(postings), "queries")
-    edges = written(links(sets, asked, n_fragments, percent), "links")
+    clusters = _clusters(postings)
+    sets = written(sets.join(clusters, "cid"), "clustered")
+    pieces = written(_split(sets, n_fragments, ["cluster"]), "pieces")
+    asked = written(_leaders(sets, clusters), "queries")
+    edges = written(links(pieces, asked, percent), "links")
     comps = written(components(edges), "components")
-    more = written(_open(postings, comps, asked), "queries")
-    if more.isEmpty():
-        return comps
-    return written(components(edges.union(links(sets, more, n_fragments, percent))), "components")
+    for turn in range(_TURNS):
+        more = written(_open(postings, comps, asked), "open")
+        if turn < _TURNS - 1:
+            more = written(_leaders(more, clusters), "queries")
+        if more.isEmpty():
+            break
+        edges = written(edges.union(links(pieces, more, percent)), "links")
+        comps = written(components(edges), "components")
+        asked = asked.union(more)
+    return comps
