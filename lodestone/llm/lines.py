@@ -27,28 +27,34 @@ def _with_word(lines: Column) -> Column:
     return F.filter(lines, lambda x: x["bare"] != "")
 
 
-def boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int = LEAST, text: str = "text", site: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int = LEAST, text: str = "text", site: str = "source", by_text: bool = False) -> DataFrame:
     """Lines to drop: site, key (hash of the line without white space around it), n_docs, n_site.
 
-    Distinct lines of a document are counted once.  Counts are summed in every task before the shuffle,
-    so a line or site that a third of all rows share costs a row per task.
+    Distinct lines of a document are counted once.  With ``by_text``, documents of a site with the same
+    lines (white space around them and empty lines aside) count as one, so copies of a text don't make
+    its lines boilerplate.  Counts are summed in every task before the shuffle, so a line, text or site
+    that a third of all rows share costs a row per task.
     """
-    rows = docs.select(F.col(site).cast("string").alias("site"), _lines(text).alias("_l"))
-    keys = F.array_distinct(F.transform(_with_word(F.col("_l")), lambda x: F.xxhash64(x["bare"])))
-    found = rows.select("site", F.explode(keys).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n_docs"))
-    sites = docs.groupBy(F.col(site).cast("string").alias("s")).agg(F.count("*").alias("n_site"))
+    keys = F.transform(_with_word(F.col("_l")), lambda x: F.xxhash64(x["bare"]))
+    rows = docs.select(F.col(site).cast("string").alias("site"), _lines(text).alias("_l")).select("site", keys.alias("keys"))
+    sites = docs.select(F.col(site).cast("string").alias("s"))
+    if by_text:
+        rows = written(rows.withColumn("text", F.xxhash64("keys")).dropDuplicates(["site", "text"]).drop("text"), "texts")
+        sites = rows.select(F.col("site").alias("s"))
+    found = rows.select("site", F.explode(F.array_distinct("keys")).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n_docs"))
+    sites = sites.groupBy("s").agg(F.count("*").alias("n_site"))
     return found.filter(F.col("n_docs") >= least).join(sites, F.col("site").eqNullSafe(F.col("s"))).filter(F.col("n_docs") * 100 > F.col("n_site") * percent).drop("s")
 
 
-def drop_boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int = LEAST, text: str = "text", site: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, percent: int = RATIO_PERCENT, least: int = LEAST, text: str = "text", site: str = "source", by_text: bool = False) -> DataFrame:
     """docs with ``text`` without its site's boilerplate lines, and n_lines, n_dropped (lines with a word).
 
     Rows stay, even if no line is left.  Null text stays null and has no lines; null sites are one site;
-    repeated rows count as documents of their own; an empty table stays empty; columns named n_lines or
-    n_dropped are replaced.
+    repeated rows count as documents of their own, unless ``by_text``; an empty table stays empty; columns
+    named n_lines or n_dropped are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    found = written(boilerplate(docs, percent, least, text, site), "lines")
+    found = written(boilerplate(docs, percent, least, text, site, by_text), "lines")
     d = docs.withColumn("_l", _lines(text))
     if found.count() <= BROADCAST_ROWS:
         keys = found.groupBy("site").agg(F.collect_list("key").alias("_keys")).withColumnRenamed("site", "_site")

@@ -1,5 +1,6 @@
 """Quality rules, mixing, language, pages, queries with SQL and the pipeline."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -172,3 +173,18 @@ def test_pipeline(spark, documents):
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
     assert sum(r["piece"] == 0 for r in packed) == len(mixed)
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, documents):
+    rng = random.Random(11)
+    text = lambda: "\n".join(" ".join(f"word{rng.randrange(9000)}" for _ in range(20)) for _ in range(5))
+    copied, small = text(), text()
+    rows = [(i, copied) for i in range(40)] + [(i, small + "\n" * (i % 2)) for i in range(40, 46)] + [(i, text() + "\nmenu | home | about us") for i in range(46, 106)]
+    docs = spark.createDataFrame([(i, t, "en", "big" if i < 40 else "other", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*(F.col(f.name).cast(f.dataType) for f in documents.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality_rules", "line_dedup", "near_duplicates"):
+        docs = spark.createDataFrame(stages[name](spark, docs, SF).collect(), documents.schema)
+    texts = Counter(r["text"].rstrip("\n") for r in docs.collect())
+    assert texts[copied] == 1 and texts[small] == 1 and len(texts) == 62 and not any("menu" in t for t in texts)
+    assert {copied, small} <= {r["text"].rstrip("\n") for r in stages["source_mix"](spark, docs, SF).collect()}
