@@ -426,7 +426,7 @@ def score_format(spark, sf):
 @query()
 def wordpiece_encode(spark, sf):
     vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "the", "th", "##er", "##e", "e", "an", "##nd", "."])}
-    return _t(spark, sf, "benchmark").select("item_id", tokenizers.encode(F.col("text"), tokenizers.WordPiece(vocab, 64)).alias("e")).select("item_id", "e.*")
+    return _t(spark, sf, "benchmark").select("item_id", tokenizers.encode(F.col("text"), tokenizers.WordPiece(vocab)).alias("e")).select("item_id", "e.*")
 
 
 @query()
@@ -434,7 +434,7 @@ def bpe_encode(spark, sf):
     letters = sorted(tokenizers.byte_letters().values())
     merges = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("e", "r")]
     vocab = {t: i for i, t in enumerate([*letters, *("".join(m) for m in merges)])}
-    return _t(spark, sf, "benchmark").select("item_id", tokenizers.encode(F.col("text"), tokenizers.BytePair(vocab, merges, 64, [], [len(vocab)])).alias("e")).select("item_id", "e.*")
+    return _t(spark, sf, "benchmark").select("item_id", tokenizers.encode(F.col("text"), tokenizers.BytePair(vocab, merges, after=[len(vocab)])).alias("e")).select("item_id", "e.*")
 
 
 @query()

@@ -1,14 +1,17 @@
 """Tokenizers and embedders."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import embed, tokenizers
+from lodestone import embed, registry, tokenizers
 from lodestone.errors import InvalidModelSpec, ModelNotCompatible, ModelNotFound
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_wordpiece():
     t = tokenizers.WordPiece.from_text("[PAD]\n[UNK]\n\n[CLS]\n[SEP]\nun\n##able\n!\nplay", 8)
@@ -53,6 +56,17 @@ def test_padding(spark):
     assert [r["e"]["attention_mask"] for r in got] == [[0, 0, 1], [0, 0, 0]]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
+def test_queries_encode_whole_texts(spark):
+    texts = {r["item_id"]: r["text"] for r in registry._t(spark, SF, "benchmark").collect()}
+    letters = tokenizers.byte_letters()
+    names = {i: t for i, t in enumerate([*sorted(letters.values()), "th", "the", "Ġthe", "er"])}
+    for r in registry.bpe_encode(spark, SF).collect():
+        assert "".join(names[i] for i in r["input_ids"][:-1]) == "".join(letters[b] for b in texts[r["item_id"]].encode())
+    for r in registry.wordpiece_encode(spark, SF).collect():
+        assert sum(r["attention_mask"]) >= 2 + len(tokenizers.WordPiece({}).words(texts[r["item_id"]])) and len(r["input_ids"]) == 512
+
+
 def test_embedders(tmp_path):
     e = embed.resolve("native")
     v = e.embed_batch(["a cat", "A  cát", "", "dog"])
