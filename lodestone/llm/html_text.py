@@ -4,7 +4,7 @@ A page is read once into blocks of text, each with the tags from the root to it.
 punctuation are summed up per such path and divided by the path's blocks; both series, laid along the
 page, are smoothed and fused, and paths under a threshold are dropped.  Blocks in parts of a page that
 are no content by their element, role or class never count.  An article or main element, where there is
-one, bounds the page.
+one, bounds the page; in it, only paths that are mostly links are dropped.
 """
 
 from __future__ import annotations
@@ -193,8 +193,8 @@ def extract(page: str | None) -> str:
     score = np.sqrt(np.bincount(of, fused) / n)
     least = _LEAST * float((score * np.bincount(of, size)).sum() / max(1.0, size.sum()))
     heading = np.array([bool(re.search(r"/h[1-6]$", p)) for p in paths])
-    keep = (score >= least) & (linked <= _LINKS)
-    keep |= heading & (linked <= _LINKS) & bool(marked)
+    # within an article or main element short items, cells and captions are content, whatever their score
+    keep = ((score >= least) | bool(marked)) & (linked <= _LINKS)
     if not marked:  # headings next to kept blocks, below the same parent
         parents = {p.rpartition("/")[0] for p, i in paths.items() if keep[i]}
         keep |= np.array([h and p.rpartition("/")[0] in parents for h, p in zip(heading, paths)]) & (linked <= _LINKS)

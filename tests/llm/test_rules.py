@@ -133,6 +133,16 @@ def test_pages():
     assert html_text.extract(plain).split("\n\n")[0] == "Head" and "Terms" not in html_text.extract(plain) and "One" not in html_text.extract(plain)
 
 
+def test_page_keeps_lists_and_tables_of_an_article():
+    long = "Some longer words, as an article has them, and more. " * 6
+    for n in (3, 8, 30):
+        items, cells = [f"short item number {i}" for i in range(n)], [f"cell {i}" for i in range(n)]
+        body = f"<h1>Heading</h1>{f'<p>{long}</p>' * 5}<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul><table><caption>Cap</caption>{''.join(f'<tr><td>{x}</td></tr>' for x in cells)}</table><dl><dt>Term<dd>{long}</dl><figure><figcaption>Fig</figcaption></figure><p>{long}</p>"
+        want = "\n\n".join(["Heading", *[long.strip()] * 5, *items, "Cap", *cells, "Term", long.strip(), "Fig", long.strip()])
+        for tag in ("article", "main"):
+            assert html_text.extract(f"<body><nav>Menu</nav><{tag}>{body}<ul class=share><li>Share</li></ul><div><a href=x>Next page of this</a></div></{tag}><p>Outside</p></body>") == want
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.main_text(df).collect()
