@@ -36,6 +36,9 @@ _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search ale
 #: Words of class names and ids that mark menus, adverts, notices, forms and comments.
 _NOISE_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead ad ads adv advert adverts advertisement adsense advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond reply replies login pagination pager skip toolbar banner".split())
 _MAIN_WORDS = frozenset("article content main post entry story body".split())
+_COMMENT_WORDS = frozenset(("comment", "comments"))
+#: With a comment word, these tell whether an article takes comments; it isn't one.
+_STATES = frozenset("open opened closed enabled disabled allowed on off".split())
 #: Elements that an opening tag closes first, up to the nearest of the second set.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -55,6 +58,8 @@ class Node:
     main: int  # 2: article or role main, 1: main, 0: none
     inner: int = 0  # the best mark of it and what it stands in
     words: frozenset = field(default_factory=frozenset)
+    named: list = field(default_factory=list)  # it and what it stands in, as far as only a name marks them as noise
+    holds: list = field(default_factory=lambda: [0, 0])  # articles or main elements, and first headings, in a named one
 
 
 @dataclass
@@ -66,13 +71,13 @@ class Block:
     region: int
 
 
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    names = (re.split(r"[-_]+", name) for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split())
+    return [parts for parts in names if parts[0] not in ("with", "no", "has", "is", "js")]
+
+
 def _words(attrs: dict[str, str]) -> frozenset:
-    out = set()
-    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
-        parts = re.split(r"[-_]+", name)
-        if parts[0] not in ("with", "no", "has", "is", "js"):
-            out.update(parts)
-    return frozenset(out)
+    return frozenset(w for parts in _names(attrs) for w in parts)
 
 
 def _open(tag: str, raw: str, parent: Node) -> Node:
@@ -80,16 +85,54 @@ def _open(tag: str, raw: str, parent: Node) -> Node:
     role, words = attrs.get("role", "").lower(), _words(attrs) if attrs else frozenset()
     main = 2 if tag == "article" or role == "article" or attrs.get("itemprop") == "articleBody" else 1 if tag == "main" or role == "main" else 0
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""))
-    by_name = words & _NOISE_WORDS and not words & _MAIN_WORDS and tag not in ("html", "body", "main")
-    by_name = by_name or "comments" in words or "comment" in words
-    noise = bool(tag in _NOISE or role in _NOISE_ROLES or hidden or by_name or (tag == "header" and not parent.inner))
-    return Node(tag, f"{parent.path}/{tag}", parent.noise or noise, main, max(parent.inner, main), words)
+    other = bool(words & (_NOISE_WORDS - _COMMENT_WORDS)) and not words & _MAIN_WORDS
+    comment = bool(words & _COMMENT_WORDS)
+    if comment and main == 2 and parent.inner < 2:  # an article inside another is a comment by any such name
+        rest = {w for n in _names(attrs) if not _COMMENT_WORDS & set(n) for w in n}
+        comment = not rest & _MAIN_WORDS and not words & _STATES
+    if tag in ("html", "body") or main == 1:
+        other = comment = False
+    noise = bool(tag in _NOISE or role in _NOISE_ROLES or hidden or (other and not main) or (tag == "header" and not parent.inner))
+    node = Node(tag, f"{parent.path}/{tag}", parent.noise or noise, main, max(parent.inner, main), words, parent.named)
+    if comment or (other and main):
+        node.named = [*parent.named, node]
+    return node
+
+
+def _judge(nodes: list[Node]):
+    """Mark what a name alone makes noise, but for elements that hold the main content: all articles and main
+    elements of the page; where there are none, its first headings, or else its only article, so named but in nothing so named."""
+    named = [n for n in nodes if n.named and n.named[-1] is n]
+    if not named:
+        return
+    total = [0, 0]
+    for n in nodes:
+        if n.noise:
+            continue
+        for k, counts in enumerate((n.main and not (n.named and n.named[-1] is n), n.tag == "h1")):
+            if counts:
+                total[k] += 1
+                for x in n.named:
+                    x.holds[k] += 1
+    alone = [n for n in named if n.main and not n.noise and len(n.named) == 1]
+    kept = set()
+    for n in named:
+        if total[0]:
+            held = n.holds[0] == total[0]
+        elif total[1]:
+            held = n.holds[1] == total[1]
+        else:
+            held = len(alone) == 1 and alone[0] is n
+        if held:
+            kept.add(id(n))
+    for n in nodes:
+        n.noise = n.noise or any(id(x) not in kept for x in n.named)
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page in page order.  Inline elements do not break a block; br is a space."""
     root = Node("", "", False, 0)
-    stack, out, buffer = [root], [], []
+    stack, out, buffer, nodes = [root], [], [], []
     links, in_link, region, at = 0, 0, 0, 0
 
     def flush():
@@ -156,10 +199,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "body" and any(x.tag == "head" for x in stack):
             close(next(i for i, x in enumerate(stack) if x.tag == "head"))
         node = _open(tag, m[4], stack[-1])
+        nodes.append(node)
         if not m[4].endswith("/") or tag in ("p", "div"):
             stack.append(node)
     words(page[at:])
     flush()
+    _judge(nodes)
+    for b in out:
+        b.noise = b.node.noise
     return out
 
 

@@ -143,6 +143,16 @@ def test_page_keeps_lists_and_tables_of_an_article():
             assert html_text.extract(f"<body><nav>Menu</nav><{tag}>{body}<ul class=share><li>Share</li></ul><div><a href=x>Next page of this</a></div></{tag}><p>Outside</p></body>") == want
 
 
+def test_page_that_names_comments():
+    text, more = "Some longer words, as an article has them. " * 6, "<section id=comments class=comments-area><article class='comment-body'><p>Great, thanks, I liked it.</p></article></section>"
+    for page in ("<html class=comments><body class='single comments-open'><article><p>{}</p></article>{}</body></html>", "<body><article class='post comments-enabled'><p>{}</p></article>{}", "<body><article class=comments-open><p>{}</p></article>{}",
+                 "<main class=comments><p>{}</p>{}</main>", "<body><div class='page comments-open'><article><p>{}</p></article>{}</div>", "<body class=comments-open><div class=comments><h1>{}</h1></div>{}", "<article class=post><p>{}</p><article class='comment post'>No, thanks.</article></article>{}"):
+        for comments in ("", more):
+            assert html_text.extract(page.format(text, comments)) == text.strip(), page
+    for comments in (more, more * 2):
+        assert html_text.extract(f"<body><div class=post><p>{text}</p></div>{comments}") == text.strip()
+
+
 def test_page_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.main_text(df).collect()
