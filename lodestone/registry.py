@@ -183,6 +183,12 @@ def mean_pool_by_label(spark, sf):
     return _rounded(vectors.mean_pool(_t(spark, sf, "embeddings"), "label", mask=F.col("vec_id") % 3 != 0), "value")
 
 
+@query("""SELECT label, i::INTEGER AS dim, round(avg(v[i + 1]), 6) AS value FROM (SELECT label, embedding::DOUBLE[] AS v, unnest(range(0, len(embedding))) AS i
+FROM embeddings) GROUP BY label, i""")
+def mean_pool_all_by_label(spark, sf):
+    return _rounded(vectors.mean_pool(_t(spark, sf, "embeddings"), "label"), "value")
+
+
 # -- fusion and composite search -----------------------------------------------------------------
 def _dense_sql(name: str, k: int = 50, vec: int = QUERY_VEC, order: str = "d") -> str:
     return f"""{name} AS (SELECT id, s AS score, row_number() OVER (ORDER BY {order}, id) AS rank FROM (SELECT e.vec_id AS id, {_DIST} AS d, greatest(0, 1 - {_DIST} * {_DIST} / 2) AS s
@@ -411,10 +417,18 @@ def model_spec_parse(spark, sf):
     return d.select("spec", "p.source", "p.identifier")
 
 
+def _parsed_dates(e: DataFrame) -> DataFrame:
+    return e.select("event_id", F.when(F.date_trunc("second", "ts") == F.col("ts"), text.sqlite_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).otherwise(F.col("ts")).alias("ts"))
+
+
 @query("SELECT event_id, ts FROM events WHERE event_id < 500")
 def sqlite_date_parse(spark, sf):
-    e = _t(spark, sf, "events").filter("event_id < 500")
-    return e.select("event_id", F.when(F.date_trunc("second", "ts") == F.col("ts"), text.sqlite_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).otherwise(F.col("ts")).alias("ts"))
+    return _parsed_dates(_t(spark, sf, "events").filter("event_id < 500"))
+
+
+@query("SELECT event_id, ts FROM events")
+def sqlite_date_parse_all(spark, sf):
+    return _parsed_dates(_t(spark, sf, "events"))
 
 
 @query("SELECT l_orderkey, l_linenumber, format('{:.3f}', l_discount) AS shown FROM lineitem")

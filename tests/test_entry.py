@@ -43,3 +43,10 @@ def test_query(spark, db, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["chunk_id", "score"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no fixture tables")
+def test_queries_over_whole_tables(spark, db):
+    queries = entry.queries()
+    assert queries["sqlite_date_parse_all"](spark, SF).count() == db.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert queries["mean_pool_all_by_label"](spark, SF).select("label").distinct().count() == db.execute("SELECT count(DISTINCT label) FROM embeddings").fetchone()[0]
