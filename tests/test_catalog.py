@@ -137,3 +137,10 @@ def test_command_line(engine, tmp_path):
     assert run("index", "rename", str(tmp_path / "a.txt"), "--corpus", "c", "--name", "n") and "• n (1 chunks)" == run("index", "list", "--corpus", "c")
     assert run("index", "refresh", "--corpus", "c") == "0 updated, 0 removed, 0 failed."
     assert "native" in run("model", "list") and run("index", "remove", "n", "--corpus", "c") and run("corpus", "delete", "c")
+
+
+def test_every_failed_file_is_reported(engine, corpus, tmp_path):
+    for i in range(1003):
+        (tmp_path / f"f{i:04}.pdf").write_bytes(b"no pdf")
+    n, warnings = ingest.add(engine.catalog, corpus, str(tmp_path), per_file=True)
+    assert n == 0 and sum(".pdf: " in w for w in warnings) == 1003
