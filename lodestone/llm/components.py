@@ -2,38 +2,77 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import task, written
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of a few edges, as edges from each node to the smallest one of its component: fewer
+    than there are nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(low, root[x], least)
+        np.minimum.at(low, root[y], least)
+        while (low != low[low]).any():
+            low = low[low]
+        low = low[root]
+        if (low == root).all():
+            break
+        root = low
+    inner = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[inner], nodes[root[inner]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) as stars of each task: a task hands on fewer edges than it has nodes."""
+
+    def run(batches):
+        u = v = np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = stars(np.concatenate([u, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()]))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return edges.mapInArrow(task(run), "u long, v long")
 
 
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _solved(e: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("x"), F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 OR (up = 1 AND n > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): the smallest node that each one reaches.
 
-    A node with many links is summed up before the shuffle; its links are rows of a join, never one
+    Each task first hands on only stars of what it holds, so a few edges are solved at once.  In the star
+    steps, a node with many links is summed up before the shuffle; its links are rows of a join, never one
     group in a task.  Each round writes its edges, so a lost executor repeats part of one round.  Self
     links are allowed and give components of one; null ends are not.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
-    e = e.filter("u != v")
-    seen = None
-    while True:
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    alone = pairs.filter("u = v").select(F.col("u").alias("node")).distinct()
+    e = written(contracted(contracted(pairs.filter("u != v")).distinct()), "edges")
+    while not _solved(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         m = _min_neighbour(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        e = written(small, "edges")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    # stable: every node but the smallest of its component has one edge, to that smallest node
-    return nodes.join(e.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        e = written(contracted(small), "edges")
+    # every node but the smallest of its component has one edge, to that smallest node
+    linked = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
+    return linked.union(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -7,14 +7,19 @@ results per document or per pair, and the partial counts are summed.
    required share of its shingles occurs elsewhere; summed over the fragments, this leaves the sets
    that can link at all.  Documents with equal sets are one class throughout.
 2. Among these, shingles are ordered by frequency.  Two sets that link share one of the first
-   n - ceil(t * n) + 1 shingles of each (prefix); sets that share one form a list.
-3. Fragments count the overlaps of some sets, the queries, with all sets; summed per pair they give the
-   exact Jaccard values and so the links.  First queries are a few leaders of each cluster of lists.
-   A set is open if it was no query and stands outside the component that has most such sets of one of
-   its lists; next queries are leaders of the open sets, and in the last turn all that are open.  After
-   that no pair of a list is left open: one of the two was a query, or both are in one component.
+   n - ceil(t * n) + 1 shingles of each (prefix); sets that share one form a list, and lists that hang
+   together a cluster.
+3. In turns, fragments count the overlaps of some sets, the queries, with the sets of their lists that are
+   not yet in one component with them; summed per pair they give the exact Jaccard values and so the
+   links, of which only stars between components are kept.  First queries are a few leaders of each
+   cluster.  A set is open if it was no query and stands outside the component that has most such sets of
+   one of its lists; next queries are leaders of the open sets, four times as many a cluster in each turn,
+   until no set is open.  Then no pair of a list is left: one of the two was a query, or both are in one
+   component.
 
 So components are exact, while a group of near copies costs a few queries a set instead of all pairs.
+Where there are many sets, a fragment is also cut by sets: its lists are dealt by a hash of the set, and
+queries come to all parts, so a shingle that a third of all sets hold is no group of one task.
 """
 
 from __future__ import annotations
@@ -28,24 +33,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import shingle_sets
+from .bytehash import mix, shingle_sets
 from .common import group_task, small_batches, task, written
-from .components import components
+from .components import components, stars
 from .tokens import slices
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Shingles that a fragment holds on average; the number of fragments follows from the data.
 FRAGMENT = 1_500_000
-#: The same where overlaps of pairs are counted, and pair increments made at a time.
-JOIN_FRAGMENT, INCREMENTS = 1_000_000, 500_000
-#: Bytes of text shingled at a time.
-SCAN_BYTES = 1_500_000
-#: Leaders of a large cluster in a turn, and turns; in the last one all open sets are queries.
-_SEEDS, _TURNS = 5, 3
-
-
-def _fragments(total: int, each: int = FRAGMENT) -> int:
+#: The same among sets that can link, sets that a fragment's part deals with, and pair increments made at a time.
+JOIN_FRAGMENT, PART, INCREMENTS = 1_000_000, 200_000, 500_000
+#: Bytes of text shingled at a time, and shingles of sets packed at a time.
+SCAN_BYTES, PACKED = 6_000_000, 1_000_000
+#: Leaders of a cluster in the first turn, and times as many in each further turn; queries of one cluster
+#: whose links are found together.
+SEEDS, GROWTH, TOGETHER = 5, 4, 16
+#: Partial overlaps that are summed together.
+SUMMED = 2_000_000
+
+
+def _fragments(total: int, each: int) -> int:
     return max(1, -(-total // each))
 
 
@@ -58,14 +66,25 @@ def _class_id(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins in sorted rows."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
 def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
-    """Packed rows (frag, payload).  frag >= 0: the classes of one batch with their shingles in that
-    fragment, as class ids, counts, and 32-bit places within the fragment.  frag < 0, one number per
-    task: the members (cid, doc_id, h, n) of one batch."""
+    """Packed rows (frag, payload).  frag >= 0: classes of one batch with their shingles in that fragment,
+    as class ids, counts, and 32-bit places within the fragment, and the places that several classes of
+    the batch have: these are sent once, and counted for their classes here (local).  frag < 0, one number
+    per task: the members (cid, doc_id, h, n, local) of one batch."""
     cuts = _cuts(n_fragments)
     low = np.concatenate([[0], cuts[:-1] + np.uint64(1)]).astype(np.uint64)
     shift = np.uint64(max(0, int(cuts[0]).bit_length() - 32))
 
+    def places(flat: np.ndarray, frag: np.ndarray) -> np.ndarray:
+        return ((flat - low[frag]) >> shift).astype(np.uint32)
+
     def run(batches):
         task = -1 - TaskContext.get().partitionId()
         for batch in batches:
@@ -73,24 +92,36 @@ def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
                 sets = shingle_sets(part.column("t"), words)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 cid = np.fromiter((_class_id(s) if len(s) else 0 for s in sets), np.int64, len(sets))
-                sink = pa.BufferOutputStream()
-                members = pa.RecordBatch.from_arrays([pa.array(cid, mask=n == 0), part.column("d"), part.column("h"), pa.array(n)], names=["cid", "doc_id", "h", "n"])
-                with pa.ipc.new_stream(sink, members.schema) as out:
-                    out.write_batch(members)
-                frags, rows = [task], [sink.getvalue().to_pybytes()]
-                ids, first = np.unique(cid[n > 0], return_index=True)
+                ids, first, of = np.unique(cid[n > 0], return_index=True, return_inverse=True)
                 own = [sets[i] for i in np.flatnonzero(n > 0)[first]]
+                local, frags, rows = np.zeros(len(sets), np.int64), [], []
                 if own:
                     flat, who = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
-                    frag = np.searchsorted(cuts, flat)
+                    order = np.argsort(flat, kind="stable")
+                    s = flat[order]
+                    new = _starts(s)
+                    several = ~(new & np.append(new[1:], True))
+                    many = np.empty(len(flat), bool)
+                    many[order] = several
+                    local[n > 0] = np.bincount(who[many], minlength=len(own))[of]
+                    shared = s[several & new]
+                    flat, who = flat[~many], who[~many]
+                    frag, s_ends = np.searchsorted(cuts, flat), np.searchsorted(np.searchsorted(cuts, shared), np.arange(n_fragments + 1))
                     order = np.argsort(frag, kind="stable")
-                    place = ((flat - low[frag]) >> shift).astype(np.uint32)[order]
-                    who, ends = who[order], np.searchsorted(frag[order], np.arange(n_fragments + 1))
-                    for f in range(n_fragments):
+                    place, who = places(flat, frag)[order], who[order]
+                    ends = np.searchsorted(frag[order], np.arange(n_fragments + 1))
+                    for f in np.flatnonzero((np.diff(ends) > 0) | (np.diff(s_ends) > 0)).tolist():
                         counts = np.bincount(who[ends[f]:ends[f + 1]], minlength=len(own)).astype(np.uint32)
                         used = np.flatnonzero(counts)
+                        again = shared[s_ends[f]:s_ends[f + 1]]
                         frags.append(f)
-                        rows.append(np.array([len(used)], np.int64).tobytes() + ids[used].tobytes() + counts[used].tobytes() + place[ends[f]:ends[f + 1]].tobytes())
+                        rows.append(np.array([len(used), len(again)], np.int64).tobytes() + ids[used].tobytes() + counts[used].tobytes() + places(again, np.full(len(again), f)).tobytes() + place[ends[f]:ends[f + 1]].tobytes())
+                sink = pa.BufferOutputStream()
+                members = pa.RecordBatch.from_arrays([pa.array(cid, mask=n == 0), part.column("d"), part.column("h"), pa.array(n), pa.array(local)], names=["cid", "doc_id", "h", "n", "local"])
+                with pa.ipc.new_stream(sink, members.schema) as out:
+                    out.write_batch(members)
+                frags.append(task)
+                rows.append(sink.getvalue().to_pybytes())
                 yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
 
     return docs.mapInArrow(task(run), "frag int, payload binary")
@@ -102,23 +133,27 @@ def _shared(n_buckets: int):
         shingles in this fragment that another class has too."""
         if key[0] < 0:
             return pd.DataFrame({"bucket": -1, "payload": pdf["payload"]})
-        ids, counts, places = [], [], []
+        ids, counts, again, places = [], [], [], []
         for p in pdf["payload"]:
-            k = int(np.frombuffer(p, np.int64, 1)[0])
-            ids.append(np.frombuffer(p, np.int64, k, 8))
-            counts.append(np.frombuffer(p, np.uint32, k, 8 + 8 * k))
-            places.append(np.frombuffer(p, np.uint32, -1, 8 + 12 * k))
+            k, m = np.frombuffer(p, np.int64, 2).tolist()
+            ids.append(np.frombuffer(p, np.int64, k, 16))
+            counts.append(np.frombuffer(p, np.uint32, k, 16 + 8 * k))
+            again.append(np.frombuffer(p, np.uint32, m, 16 + 12 * k))
+            places.append(np.frombuffer(p, np.uint32, -1, 16 + 12 * k + 4 * m))
         classes, who = np.unique(np.concatenate(ids), return_inverse=True)
         pairs = (np.concatenate(places).astype(np.uint64) << np.uint64(32)) | np.repeat(who, np.concatenate(counts)).astype(np.uint64)
         pairs.sort()
-        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        pairs = pairs[_starts(pairs)]
         place = pairs >> np.uint64(32)
         same = place[1:] == place[:-1]
-        also = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(place) else np.zeros(0, bool)
+        also = np.zeros(len(place), bool)
+        also[1:] |= same
+        also[:-1] |= same
+        also |= np.isin(place, np.unique(np.concatenate(again)).astype(np.uint64))
         n = np.bincount((pairs[also] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
         bucket = np.where(n > 0, classes % n_buckets, -1)
-        rows = [(b, classes[bucket == b].tobytes() + n[bucket == b].tobytes()) for b in range(n_buckets)]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["bucket", "payload"])
+        rows = [(b, classes[bucket == b].tobytes() + n[bucket == b].tobytes()) for b in np.unique(bucket[bucket >= 0]).tolist()]
+        return pd.DataFrame(rows, columns=["bucket", "payload"])
 
     return count
 
@@ -129,7 +164,7 @@ def _members(state: DataFrame) -> DataFrame:
             for p in batch.column("payload"):
                 yield from pa.ipc.open_stream(p.as_py())
 
-    return state.filter("bucket < 0").mapInArrow(task(run), "cid long, doc_id long, h long, n long")
+    return state.filter("bucket < 0").mapInArrow(task(run), "cid long, doc_id long, h long, n long, local long")
 
 
 def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,153 +175,248 @@ def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": classes, "shared": np.bincount(who, both[1], len(classes)).astype(np.int64)})
 
 
-def _split(sets: DataFrame, n_fragments: int, extra: list[str]) -> DataFrame:
-    """One row per set and fragment: frag, cid, n, extra columns, payload (its shingles there)."""
+def _hashed(ids: np.ndarray, n: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _blocks(batches, names: list[str]):
+    """Sets of some million shingles at a time: long columns, sizes, shingles, and the set of each shingle."""
+    cols, sets, total = [[] for _ in names], [], 0
+
+    def block():
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        return [np.array(c, np.int64) for c in cols], size, np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in names]
+        for i, p in enumerate(batch.column("shingles")):
+            sets.append(np.frombuffer(p.as_py(), np.uint64))
+            total += len(sets[-1])
+            for own, c in zip(cols, columns):
+                own.append(c[i])
+            if total >= PACKED:
+                yield block()
+                cols, sets, total = [[] for _ in names], [], 0
+    if sets:
+        yield block()
+
+
+def _pack(cols: list[np.ndarray], who: np.ndarray, *entries: np.ndarray) -> bytes:
+    """The sets that entries belong to (``who``, ascending), with their long columns, their numbers of
+    entries, and the entries."""
+    counts = np.bincount(who, minlength=len(cols[0]))
+    used = np.flatnonzero(counts)
+    return b"".join([np.array([len(used)], np.int64).tobytes(), *(c[used].tobytes() for c in cols), counts[used].tobytes(), *(e.tobytes() for e in entries)])
+
+
+def _unpacked(payloads, n_cols: int, n_entries: int = 1) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]:
+    """Long columns, sizes, entries, and the set of each entry."""
+    cols, size, entries = [[np.zeros(0, np.int64)] for _ in range(n_cols)], [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(n_entries)]
+    for p in payloads:
+        k = int(np.frombuffer(p, np.int64, 1)[0])
+        head = np.frombuffer(p, np.int64, k * (n_cols + 1), 8).reshape(n_cols + 1, k)
+        for own, c in zip(cols, head):
+            own.append(c)
+        size.append(head[-1])
+        for own, e in zip(entries, np.frombuffer(p, np.uint64, -1, 8 + 8 * k * (n_cols + 1)).reshape(n_entries, -1)):
+            own.append(e)
+    size = np.concatenate(size)
+    return [np.concatenate(c) for c in cols], size, [np.concatenate(e) for e in entries], np.repeat(np.arange(len(size)), size)
+
+
+def _split(sets: DataFrame, n_fragments: int, n_parts: int, names: list[str], query: str | None = None) -> DataFrame:
+    """Packed rows (frag, part, asks, payload) of sets and their shingles in a fragment: each set in the
+    part of its hash, and, with ``asks``, the sets that are queries in all parts."""
     cuts = _cuts(n_fragments)
-    names = ["cid", "n", *extra]
 
     def run(batches):
-        for batch in batches:
-            frag, row, payload = [], [], []
-            for i, p in enumerate(batch.column("shingles")):
-                s = np.frombuffer(p.as_py(), np.uint64)
-                ends = np.searchsorted(s, cuts, "right")
-                for f, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                    if b > a:
-                        frag.append(f)
-                        row.append(i)
-                        payload.append(s[a:b].tobytes())
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(frag, pa.int32()), *(batch.column(c).take(take) for c in names), pa.array(payload, pa.binary())], names=["frag", *names, "payload"])
-
-    kinds = dict(sets.dtypes)
-    return sets.mapInArrow(task(run), "frag int, " + ", ".join(f"{c} {kinds[c]}" for c in names) + ", payload binary")
-
-
-def _frequencies(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per set its shingles of this fragment that occur in two or more sets, and in how many."""
-    sets = [np.frombuffer(p, np.uint64) for p in pdf["payload"]]
-    flat = np.concatenate(sets)
-    _, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
-    df = count[inv].astype(np.uint64)
-    ends = np.cumsum([len(s) for s in sets])
-    out = []
-    for s, d in zip(sets, np.split(df, ends[:-1])):
-        both = np.stack([s[d > 1], d[d > 1]])
-        out.append(both.tobytes())
-    return pd.DataFrame({"cid": pdf["cid"], "n": pdf["n"], "payload": out})
-
-
-def _prefixes(grouped: DataFrame, percent: int) -> DataFrame:
-    """Postings (shingle, cid) of the prefixes in the order of (frequency, shingle).  Shingles of one set
-    stand first in its order and link nothing, so they only use the prefix up."""
+        for (*cols, asks), _, flat, who in _blocks(batches, [*names, query] if query else [*names, names[0]]):
+            rows = []
+            key = np.searchsorted(cuts, flat) * n_parts + _hashed(cols[0], n_parts)[who]
+            order = np.argsort(key, kind="stable")
+            values, first = np.unique(key[order], return_index=True)
+            for v, own in zip(values.tolist(), np.split(order, first[1:])):
+                rows.append((v // n_parts, v % n_parts, False, _pack(cols, who[own], flat[own])))
+            if query:
+                mine = np.flatnonzero(asks[who])
+                order = mine[np.argsort(key[mine] // n_parts, kind="stable")]
+                values, first = np.unique(key[order] // n_parts, return_index=True)
+                for v, own in zip(values.tolist(), np.split(order, first[1:]) if len(values) else []):
+                    payload = _pack(cols, who[own], flat[own])
+                    rows += [(v, p, True, payload) for p in range(n_parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["frag", "part", "asks", "payload"])
+
+    return sets.mapInArrow(task(run), "frag int, part int, asks boolean, payload binary")
+
+
+def _counts(sets: DataFrame, n_fragments: int) -> DataFrame:
+    """Per fragment the shingles of two or more sets and the numbers of their sets, summed in tasks first."""
+    cuts = _cuts(n_fragments)
 
     def run(batches):
-        for batch in batches:
-            shingle, cid = [], []
-            for c, n, parts in zip(batch.column("cid").to_numpy(), batch.column("n").to_numpy(), batch.column("parts").to_pylist()):
-                both = np.concatenate([np.frombuffer(p, np.uint64).reshape(2, -1) for p in parts], axis=1)
-                n = int(n)
-                length = n - -(-percent * n // 100) + 1 - (n - both.shape[1])
-                if length > 0:
-                    s = both[0][np.lexsort((both[0], both[1]))[:length]]
-                    shingle.append(s.view(np.int64))
-                    cid.append(np.full(len(s), c, np.int64))
-            if cid:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle)), pa.array(np.concatenate(cid))], names=["shingle", "cid"])
-
-    return grouped.mapInArrow(task(run), "shingle long, cid long")
-
-
-def _overlaps(percent: int):
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Partial overlaps of this fragment, a row for each query a: packed (b, nb, overlap) for sets b that
-        the sizes allow to link: those of the sets, and those of what they have in other fragments."""
-        sets = [np.frombuffer(p, np.uint64) for p in pdf["payload"]]
-        n, query = pdf["n"].to_numpy(), pdf["query"].to_numpy()
-        size = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        _, cluster = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)
-        order = np.lexsort((flat, cluster[who]))
-        flat, who = flat[order], who[order]
-        start = np.ones(len(flat), bool)  # a shingle of one cluster: no link leads out of it
-        start[1:] = (flat[1:] != flat[:-1]) | (cluster[who[1:]] != cluster[who[:-1]])
-        run = np.cumsum(start) - 1
-        first = np.flatnonzero(start)
-        length = np.diff(np.concatenate([first, [len(flat)]]))
-        mine = np.flatnonzero(query[who] & (length[run] > 1))
-        mine = mine[np.argsort(who[mine], kind="stable")]
-        _, q_start = np.unique(who[mine], return_index=True)
-        q_stop = np.append(q_start[1:], len(mine)).astype(np.int64)
-        block = np.cumsum(length[run[mine]])[q_stop - 1] // INCREMENTS if len(mine) else q_start
-        out, m = [], len(sets)
-        for k in np.unique(block):  # whole queries, about INCREMENTS increments at a time
-            own = np.flatnonzero(block == k)
-            part = mine[q_start[own[0]]:q_stop[own[-1]]]
-            reps = length[run[part]]
-            off = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
-            pair, c = np.unique(np.repeat(who[part], reps) * m + who[np.repeat(first[run[part]], reps) + off], return_counts=True)
-            x, y = pair // m, pair % m
-            elsewhere = np.minimum(n[x] - size[x], n[y] - size[y])
-            fits = (x != y) & ((100 + percent) * (c + elsewhere) >= percent * (n[x] + n[y]))
-            out.append((x[fits], y[fits], c[fits]))
-        cid, rows = pdf["cid"].to_numpy(), []
-        for x, y, c in out:
-            cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-            both = np.stack([cid[y], n[y], c]).astype(np.int64)
-            rows += [(cid[q], n[q], part.tobytes()) for q, part in zip(x[cut], np.split(both, cut[1:], axis=1))]
-        return pd.DataFrame(rows, columns=["a", "na", "payload"])
+        for _, _, flat, _ in _blocks(batches, []):
+            s, n = np.unique(flat, return_counts=True)
+            ends = np.searchsorted(np.searchsorted(cuts, s), np.arange(n_fragments + 1))
+            rows = [(f, s[ends[f]:ends[f + 1]].tobytes() + n[ends[f]:ends[f + 1]].tobytes()) for f in np.flatnonzero(np.diff(ends)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["frag", "payload"])
+
+    def total(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s, n = np.concatenate([np.frombuffer(p, np.uint64).reshape(2, -1) for p in pdf["payload"]], axis=1)
+        s, at = np.unique(s, return_inverse=True)
+        n = np.bincount(at, n.astype(np.float64)).astype(np.uint64)
+        return pd.DataFrame({"frag": [key[0]], "payload": [s[n > 1].tobytes() + n[n > 1].tobytes()]})
+
+    return sets.select("shingles").mapInArrow(task(run), "frag int, payload binary").groupBy("frag").applyInPandas(group_task(total), "frag int, payload binary")
+
+
+def _frequencies(n_buckets: int):
+    def run(key: tuple, pieces: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        """Per bucket of sets their shingles of this fragment that occur in two or more sets, and in how many."""
+        if not len(pieces) or not len(counts):
+            return pd.DataFrame({"bucket": [], "payload": []})
+        cols, _, (flat,), who = _unpacked(pieces["payload"], 2)
+        s, n = np.frombuffer(counts["payload"].iloc[0], np.uint64).reshape(2, -1)
+        if not len(s):
+            return pd.DataFrame({"bucket": [], "payload": []})
+        at = np.minimum(np.searchsorted(s, flat), len(s) - 1)
+        bucket = _hashed(cols[0], n_buckets)[who]
+        use = np.flatnonzero(s[at] == flat)
+        order = use[np.argsort(bucket[use], kind="stable")]
+        values, first = np.unique(bucket[order], return_index=True)
+        rows = [(v, _pack(cols, who[own], flat[own], n[at[own]])) for v, own in zip(values.tolist(), np.split(order, first[1:]) if len(values) else [])]
+        return pd.DataFrame(rows, columns=["bucket", "payload"])
+
+    return run
+
+
+def _prefixes(percent: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Postings (shingle, cid) of the prefixes in the order of (frequency, shingle).  Shingles of one set
+        stand first in its order and link nothing, so they only use the prefix up."""
+        (cid, n), _, (flat, freq), who = _unpacked(pdf["payload"], 2, 2)
+        ids, first, of = np.unique(cid, return_index=True, return_inverse=True)
+        n, who = n[first], of[who]
+        common = np.bincount(who, minlength=len(ids))
+        order = np.lexsort((flat, freq, who))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(common) - common, common)
+        length = n - -(-percent * n // 100) + 1 - (n - common)
+        use = order[rank < length[who[order]]]
+        return pd.DataFrame({"shingle": flat[use].view(np.int64), "cid": ids[who[use]]})
+
+    return run
 
-    return count
 
+def _overlaps(percent: int, n_buckets: int, n_groups: int):
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Partial overlaps of queries (x) with the sets of this part (y) in this fragment, packed by bucket,
+        where x and y are of one cluster and two components and the sizes allow a link: those of the sets,
+        and those of what they have in other fragments."""
+        asks = pdf["asks"].to_numpy()
+        (y_cid, y_n, y_cluster, y_comp), y_size, (y_flat,), y_who = _unpacked(pdf["payload"][~asks], 4)
+        (x_cid, x_n, x_cluster, x_comp), x_size, (x_flat,), x_who = _unpacked(pdf["payload"][asks], 4)
+        rows = []
+        if len(x_flat) and len(y_flat):
+            flat, cluster = np.concatenate([y_flat, x_flat]), np.concatenate([y_cluster[y_who], x_cluster[x_who]])
+            order = np.lexsort((flat, cluster))
+            run = np.cumsum(_starts(flat[order], cluster[order])) - 1
+            mine = order >= len(y_flat)
+            y_at, y_run = y_who[order[~mine]], run[~mine]  # sets that have the shingle of each run
+            length = np.bincount(y_run, minlength=run[-1] + 1)
+            first = np.cumsum(length) - length
+            x_at, x_run = x_who[order[mine] - len(y_flat)], run[mine]
+            by_query = np.argsort(x_at, kind="stable")
+            x_at, x_run = x_at[by_query], x_run[by_query]
+            reps, m = length[x_run], len(y_cid)
+            starts = np.flatnonzero(_starts(x_at))
+            block = np.add.reduceat(reps, starts).cumsum() // INCREMENTS
+            bucket_of = _hashed(x_cluster + _hashed(x_cid, n_groups), n_buckets)
+            for k in np.unique(block):  # whole queries, about INCREMENTS increments at a time
+                own = np.flatnonzero(block == k)
+                a, b = starts[own[0]], starts[own[-1] + 1] if own[-1] + 1 < len(starts) else len(x_at)
+                r = reps[a:b]
+                off = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+                x, y = np.repeat(x_at[a:b], r), y_at[np.repeat(first[x_run[a:b]], r) + off]
+                apart = x_comp[x] != y_comp[y]
+                pair, c = np.unique(x[apart] * m + y[apart], return_counts=True)
+                x, y = pair // m, pair % m
+                elsewhere = np.minimum(x_n[x] - x_size[x], y_n[y] - y_size[y])
+                fits = (100 + percent) * (c + elsewhere) >= percent * (x_n[x] + y_n[y])
+                x, y, c = x[fits], y[fits], c[fits]
+                bucket = bucket_of[x]
+                order = np.argsort(bucket, kind="stable")
+                values, cut = np.unique(bucket[order], return_index=True)
+                both = np.stack([x_cid[x], y_cid[y], x_comp[x], y_comp[y], x_n[x] + y_n[y], c])[:, order]
+                rows += [(v, key[1], p.tobytes()) for v, p in zip(values.tolist(), np.split(both, cut[1:], axis=1) if len(values) else [])]
+        return pd.DataFrame(rows, columns=["bucket", "part", "payload"])
 
-def links(pieces: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """All links (a, b) of the query sets within their clusters: partial overlaps per fragment, summed per pair."""
-    marked = pieces.join(queries.select("cid", F.lit(True).alias("query")), "cid", "left").withColumn("query", F.coalesce("query", F.lit(False)))
-    partial = marked.groupBy("frag").applyInPandas(group_task(_overlaps(percent)), "a long, na long, payload binary")
-    bucket = F.pmod(F.xxhash64("a"), F.lit(queries.count() // 500 + 1))
-    return partial.groupBy(bucket).applyInPandas(group_task(_linked(percent)), "a long, b long")
+    return count
 
 
 def _linked(percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The links of a bucket's queries: partial overlaps summed per pair, and compared."""
-        parts = [np.frombuffer(p, np.int64).reshape(3, -1) for p in pdf["payload"]]
-        b, nb, c = np.concatenate(parts, axis=1)
-        size = [p.shape[1] for p in parts]
-        a, na = np.repeat(pdf["a"].to_numpy(), size), np.repeat(pdf["na"].to_numpy(), size)
-        order = np.lexsort((b, a))
-        a, na, b, nb, c = a[order], na[order], b[order], nb[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        i = np.add.reduceat(c, first)
-        hit = 100 * i >= percent * (na[first] + nb[first] - i)
-        return pd.DataFrame({"a": a[first][hit], "b": b[first][hit]})
+        """The links of a bucket's queries, as stars between components: overlaps summed per pair, and compared."""
+        x, y, x_comp, y_comp, n, c = np.concatenate([np.frombuffer(p, np.int64).reshape(6, -1) for p in pdf["payload"]], axis=1)
+        order = np.lexsort((y, x))
+        first = np.flatnonzero(_starts(x[order], y[order]))
+        i = np.add.reduceat(c[order], first)
+        first = order[first]
+        hit = first[100 * i >= percent * (n[first] - i)]
+        a, b = stars(x_comp[hit], y_comp[hit])
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
-def _clusters(postings: DataFrame) -> DataFrame:
-    """(cid, cluster): sets that hang together by lists; no link leads out of a cluster."""
-    lists = postings.groupBy("shingle").agg(F.min("cid").alias("low"))
-    stars = postings.join(lists, "shingle").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()
-    return written(components(stars).select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
+def links(sets: DataFrame, marks: DataFrame, percent: int, n_groups: int = 1) -> DataFrame:
+    """Links found by the queries among marks (cid, n, cluster, comp, query), as edges (a, b) between
+    components: partial overlaps per fragment, summed per pair."""
+    size = marks.groupBy("cluster").agg(F.count("*").alias("m"), F.count_if("query").alias("q"), F.sum("n").alias("n"))
+    size = size.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("q")).alias("pairs"), F.sum("n").alias("n")).first()
+    n_parts = _fragments(size["m"] or 0, PART)
+    n_fragments = _fragments(size["n"] or 0, JOIN_FRAGMENT * n_parts)
+    n_buckets = _fragments((size["pairs"] or 0) * min(n_fragments, 4), SUMMED * n_parts)
+    marked = sets.select("cid", "shingles").join(marks.withColumn("query", F.col("query").cast("long")), "cid")
+    pieces = _split(marked, n_fragments, n_parts, ["cid", "n", "cluster", "comp"], "query")
+    partial = pieces.groupBy("frag", "part").applyInPandas(group_task(_overlaps(percent, n_buckets, n_groups)), "bucket int, part int, payload binary")
+    return partial.groupBy("bucket", "part").applyInPandas(group_task(_linked(percent)), "a long, b long")
 
 
-def _leaders(sets: DataFrame, clusters: DataFrame) -> DataFrame:
-    """A few of the sets (cid) of each cluster: those of the lowest hashes, one where there are two or three."""
-    own = sets.select("cid").join(clusters, "cid")
-    lows = [F.min(F.struct(F.xxhash64("cid", F.lit(s)).alias("h"), F.col("cid").alias("c"))).alias(f"l{s}") for s in range(_SEEDS)]
-    best = own.groupBy("cluster").agg(F.count("*").alias("m"), *lows)
-    few = F.slice(F.array(*[F.col(f"l{s}.c") for s in range(_SEEDS)]), F.lit(1), F.when(F.col("m") < 4, 1).otherwise(_SEEDS))
-    return best.select(F.explode(few).alias("cid")).distinct()
+def _postings(sets: DataFrame, total: int, n_sets: int, percent: int) -> DataFrame:
+    n_parts = _fragments(n_sets, PART)
+    n_fragments = _fragments(total, JOIN_FRAGMENT * n_parts)
+    n_buckets = n_parts * _fragments(total, JOIN_FRAGMENT * n_parts)
+    counts = _counts(sets, n_fragments).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
+    pieces = _split(sets, n_fragments, n_parts, ["cid", "n"])
+    found = pieces.groupBy("frag", "part").cogroup(counts.groupBy("frag", "part")).applyInPandas(_frequencies(n_buckets), "bucket int, payload binary")
+    return found.groupBy("bucket").applyInPandas(group_task(_prefixes(percent)), "shingle long, cid long")
 
 
-def _open(postings: DataFrame, comps: DataFrame, asked: DataFrame) -> DataFrame:
+def _clusters(postings: DataFrame) -> DataFrame:
+    """(cid, cluster): sets that hang together by lists; no link leads out of a cluster.  Sets first take the
+    least set of their lists as their label, so only a few labels of each list are left to be joined."""
+    low = postings.groupBy("shingle").agg(F.min("cid").alias("low"))
+    labels = written(postings.join(low, "shingle").groupBy("cid").agg(F.min("low").alias("label")), "labels")
+    rows = postings.join(labels, "cid").select("shingle", "label").distinct()
+    least = rows.groupBy("shingle").agg(F.min("label").alias("b"), F.count("*").alias("k")).filter("k > 1").select("shingle", "b")
+    comps = components(rows.join(least, "shingle").select(F.col("label").alias("a"), "b"))
+    return labels.join(comps, labels["label"] == comps["node"], "left").select("cid", F.coalesce("component", "label").alias("cluster"))
+
+
+def _leaders(rest: DataFrame, state: DataFrame, many: int, turn: int) -> DataFrame:
+    """About so many of the sets (cid) of each cluster by their hashes, and one at least; one where there are three or fewer."""
+    own = rest.join(state.select("cid", "cluster"), "cid").withColumn("u", F.xxhash64("cid", F.lit(turn)))
+    size = own.groupBy("cluster").agg(F.count("*").alias("m"), F.min(F.struct("u", "cid")).alias("least"))
+    chance = F.when(F.col("m") < 4, 0.0).otherwise(F.lit(float(many)) / F.col("m"))
+    few = (F.col("u").bitwiseAND((1 << 30) - 1) / float(1 << 30) < chance) | (F.col("cid") == F.col("least.cid"))
+    return own.join(size, "cluster").filter(few).select("cid")
+
+
+def _open(postings: DataFrame, state: DataFrame) -> DataFrame:
     """Sets that were no query and stand outside the component that has most such sets of their list."""
-    rest = postings.join(asked, "cid", "left_anti").join(comps, postings["cid"] == comps["node"], "left").select("shingle", postings["cid"], F.coalesce("component", "cid").alias("component"))
-    sizes = rest.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    return rest.join(largest.select("shingle", F.col("top.component").alias("top")), "shingle").filter("component != top").select("cid").distinct()
+    rest = postings.join(state.filter("NOT asked").select("cid", "comp"), "cid")
+    sizes = rest.groupBy("shingle", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    return rest.join(largest.select("shingle", F.col("top.comp").alias("top")), "shingle").filter("comp != top").select("cid").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,17 +429,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
     chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
-    n_fragments = _fragments(chars // 6)
+    n_fragments = _fragments(chars // 6, FRAGMENT)
     packed = _scan(docs, n_fragments, words).groupBy("frag").applyInPandas(group_task(_shared(-(-n_fragments // 8))), "bucket int, payload binary")
     with small_batches(docs.sparkSession):
         state = written(packed, "fragments")
     members = written(_members(state), "members")
     shared = state.filter("bucket >= 0").groupBy("bucket").applyInPandas(group_task(_summed), "cid long, shared long")
-    classes = members.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n").alias("n"), F.min("doc_id").alias("low"))
+    classes = members.filter("n > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.max("n").alias("n"), F.min("local").alias("local"), F.min("doc_id").alias("low"))
     classes = written(classes, "classes")
-    able = classes.join(shared, "cid").filter(F.col("shared") * 100 >= F.col("n") * percent).select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("h"))
+    able = classes.join(shared, "cid", "left").filter((F.coalesce("shared", F.lit(0)) + F.col("local")) * 100 >= F.col("n") * percent)
     with small_batches(docs.sparkSession):
-        comps = _components_of(docs, able, words, percent)
+        comps = _components_of(docs, able.select("cid", "n", F.col("rep.doc_id").alias("d"), F.col("rep.h").alias("h")), words, percent)
     named = classes.join(comps, classes["cid"] == comps["node"], "left").select("cid", "rep", "low", F.coalesce("component", "cid").alias("component"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("low").alias("component_id"), F.min("rep").alias("rep"))
@@ -321,7 +451,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def _components_of(docs: DataFrame, able: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, component) of the classes that have links, from the texts of one document of each class."""
+    """(node, component) of the classes that share a list, from the texts of one document of each class."""
 
     def run(batches):
         for batch in batches:
@@ -332,25 +462,26 @@ def _components_of(docs: DataFrame, able: DataFrame, words: int, percent: int) -
     able = able.select("cid", "n", F.col("d").alias("rd"), F.col("h").alias("rh"))
     texts = docs.join(able, docs["d"].eqNullSafe(able["rd"]) & (docs["h"] == able["rh"])).select("cid", "n", "t")
     sets = written(texts.mapInArrow(task(run), "cid long, n long, shingles binary").dropDuplicates(["cid"]), "able")
-    n_fragments = _fragments(sets.agg(F.sum("n")).first()[0] or 0, JOIN_FRAGMENT)
-    common = _split(sets, n_fragments, []).groupBy("frag").applyInPandas(group_task(_frequencies), "cid long, n long, payload binary")
-    postings = written(_prefixes(common.groupBy("cid", "n").agg(F.collect_list("payload").alias("parts")), percent), "postings")
+    size = sets.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
+    postings = written(_postings(sets, size["n"] or 0, size["m"], percent), "postings")
     # a list of one set has no pair
     lists = postings.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
     postings = written(postings.join(lists, "shingle"), "postings")
     clusters = _clusters(postings)
-    sets = written(sets.join(clusters, "cid"), "clustered")
-    pieces = written(_split(sets, n_fragments, ["cluster"]), "pieces")
-    asked = written(_leaders(sets, clusters), "queries")
-    edges = written(links(pieces, asked, percent), "links")
-    comps = written(components(edges), "components")
-    for turn in range(_TURNS):
-        more = written(_open(postings, comps, asked), "open")
-        if turn < _TURNS - 1:
-            more = written(_leaders(more, clusters), "queries")
-        if more.isEmpty():
-            break
-        edges = written(edges.union(links(pieces, more, percent)), "links")
-        comps = written(components(edges), "components")
-        asked = asked.union(more)
-    return comps
+    state = written(clusters.join(sets.select("cid", "n"), "cid").select("cid", "n", "cluster", F.col("cid").alias("comp"), F.lit(False).alias("asked")), "state")
+    rest, many, turn = state.select("cid"), SEEDS, 0
+    while True:
+        queries = written(_leaders(rest, state, many, turn), "queries")
+        lists = postings.join(queries, "cid", "left_semi").select("shingle").distinct()
+        near = postings.join(lists, "shingle", "left_semi").select("cid").distinct()
+        asked = queries.withColumn("query", F.lit(True))
+        marks = written(state.join(near, "cid", "left_semi").join(asked, "cid", "left").select("cid", "n", "cluster", "comp", F.coalesce("query", F.lit(False)).alias("query")), "marks")
+        edges = written(links(sets, marks, percent, -(-many // TOGETHER)), "links")
+        moved = components(edges)
+        state = state.join(moved, state["comp"] == moved["node"], "left").drop("node").join(asked, "cid", "left").select(
+            "cid", "n", "cluster", F.coalesce("component", "comp").alias("comp"), (F.col("asked") | F.col("query").isNotNull()).alias("asked"))
+        state = written(state, "state")
+        rest = written(_open(postings, state), "open")
+        if rest.isEmpty():
+            return state.select(F.col("cid").alias("node"), F.col("comp").alias("component"))
+        many, turn = many * GROWTH, turn + 1
