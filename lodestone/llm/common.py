@@ -52,6 +52,17 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, changed where columns of the caller have them (in any case of letters)."""
+    taken, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of so many rows at the most for what runs inside: texts are long, and a batch is in

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,10 +155,56 @@ def test_page_that_names_comments():
         assert html_text.extract(f"<body><div class=post><p>{text}</p></div>{comments}") == text.strip()
 
 
+def unmarked_page(rng, n):
+    """An article without a mark or class word beside a long menu without links, and its text."""
+    say = lambda k: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**6)}{rng.choice(['', '', ',', '.'])}" for _ in range(k))
+    parts = [f"Title {n}", *(say(rng.randrange(20, 80)) + "." for _ in range(rng.randrange(3, 9)))]
+    menu = "".join(f"<p>Topic {rng.randrange(999)}</p>" for _ in range(250))
+    return f"<html><body><div><div>{menu}</div></div><div><h1>{parts[0]}</h1>{''.join(f'<section><p>{x}</p></section>' for x in parts[1:])}</div><div>Some last words</div></body></html>", "\n\n".join(parts)
+
+
+def test_scores_choose_the_content_of_unmarked_pages(monkeypatch):
+    rng = random.Random(4)
+    pages = [unmarked_page(rng, n) for n in range(60)]
+    got = [html_text.extract(page) for page, _ in pages]
+    assert sum(g == want for g, (_, want) in zip(got, pages)) >= 54
+    for g, (_, want) in zip(got, pages):
+        words = Counter(want.split())
+        assert sum((words & Counter(g.split())).values()) >= 0.95 * sum(words.values())
+    monkeypatch.setattr(html_text, "path_scores", lambda paths, length, marks: np.ones(paths.max() + 1))
+    assert sum(html_text.extract(page) != g for (page, _), g in zip(pages, got)) >= 54
+
+
+def test_path_scores_equal_definition():
+    page = html_text.Page(PAGE)
+    names, of = [], lambda k: "" if k < 0 else of(page.parent[k]) + "/" + page.tag[k]
+    names = [of(k) for k in page.element]
+    length, marks = [len(t) for t in page.texts], [len(re.findall(r"[.,;:!?…。，！？]", t)) for t in page.texts]
+    rows = defaultdict(list)
+    for i, name in enumerate(names):
+        rows[name].append(i)
+    mean = lambda x: [sum(x[j] for j in rows[name]) / len(rows[name]) for name in names]
+    near = lambda x, i: sum(w * x[min(max(i + d, 0), len(x) - 1)] for d, w in ((-2, .05), (-1, .2), (0, .5), (1, .2), (2, .05)))
+    text, punctuation = mean(length), mean(marks)
+    fused = [near(text, i) * (1 + near(punctuation, i)) for i in range(len(names))]
+    want = [(sum(fused[j] for j in rows[name]) / len(rows[name])) ** 0.5 for name in names]
+    paths = np.array(page.block_path)
+    assert len({(p, n) for p, n in zip(page.block_path, names)}) == len(rows) == len(set(page.block_path))
+    assert html_text.path_scores(paths, np.array(length, float), np.array(marks, float))[paths] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("page", ["<a '" * 250_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<a " * 300_000, "<p><b>" * 100_000 + "x", "<li><ul>" * 60_000 + "x", "<!--" * 200_000, "<p a='" * 150_000 + "x", "<p>" + "word " * 400_000])
+def test_pages_of_broken_markup_take_linear_time(page):
+    began = time.process_time()
+    text = html_text.extract(page)
+    assert time.process_time() - began < 8 and len(text) <= len(page)
+    assert "x" in text or "word" in text or page.startswith(("<a", "<!", "<p a"))
+
+
 def test_page_table(spark):
-    df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, "u", PAGE, "x", "y"), (1, "u", PAGE, "x", "y"), (None, None, None, None, "y")], "page_id long, url string, html string, text string, html_ string")
     got = html_text.main_text(df).collect()
-    assert sorted(r["n_chars"] for r in got)[0] == 0 and len(got) == 3 and got[0]["text"] == html_text.extract(PAGE)
+    assert sorted(r["n_chars"] for r in got)[0] == 0 and len(got) == 3 and got[0]["text"] == html_text.extract(PAGE) and {r["html_"] for r in got} == {"y"}
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
