@@ -3,11 +3,13 @@
 Documents longer than the capacity are cut from their end, so only the first piece is short.  The
 histogram of piece lengths (at most ``capacity`` numbers) goes to the driver.  There a configuration is a
 multiset of lengths that fits a sequence; the program asks for the fewest configurations that cover the
-histogram.  Multiplicative weights price the lengths, an unbounded knapsack by dynamic programming finds
-the configuration of the highest price, and its use lowers the prices of the lengths it covers.  The
-fractional uses are rounded down, the program is solved again for what is left, and the last pieces,
-which no longer fill a configuration, go by best fit.  The pieces are then dealt to the slots of the
-configurations by their rank among the pieces of their length.
+histogram.  Its constraints, one per length, have weights that fall as a length is covered; they are the
+prices of the lengths, an unbounded knapsack by dynamic programming finds the configuration of the highest
+price, and it is used for a small fixed share of the pieces of its rarest length.  So fractional uses grow
+for all lengths alike, and every price vector, divided by its knapsack's value, bounds the program from
+below.  Uses are rounded down, the program is solved again for what is left, and the last pieces and the
+small ones, which fit into what sequences have free, go by best fit.  The pieces are then dealt to the
+slots of the configurations by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -24,67 +26,83 @@ from .tokens import encoder, slices
 from .token_file import with_end
 
 CAPACITY = 1024
-ITERATIONS, ROUNDS = 160, 12
-#: Rate of the weights, and how much more than its tokens a long piece is worth at first.
-RATE, TILT = 0.02, 0.05
+#: Rates at which prices fall with the covered share, tried in turn while the bound is not nearly reached.
+RATES = (1.0, 8.0)
+#: Knapsacks of a solution (about; it stops when its share is covered), solutions of what is left, the share
+#: of the tokens that a solution covers, and the least step as a share of a length's pieces.
+STEPS, ROUNDS, GOAL, WIDTH = 600, 4, 0.9, 0.01
+#: Sequences a plan near the bound may have, as a factor.
+NEAR = 1.005
+#: Pieces shorter than a sequence by this factor are small: they are left to best fit.
+SMALL = 32
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the highest value that fits, as {index: uses}."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        k = ends[c]
-        best[c] = best[c - 1]
-        if k:
-            v = values[:k] + best[c - lengths[:k]]
-            j = int(np.argmax(v))
-            if v[j] > best[c]:
-                best[c], choice[c] = v[j], j
+    """The multiset of lengths of the highest value that fits, as {index: uses}.  lengths ascend."""
+    return _knapsack(values, lengths, capacity)[0]
+
+
+def _knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
+    value = np.full(2 * capacity + 1, -np.inf)
+    value[capacity + lengths] = values
+    last = np.lib.stride_tricks.sliding_window_view(value, capacity + 1)  # row c: values of lengths c - capacity to c
+    low, best = int(lengths[0]), np.zeros(capacity + 1)
+    for a in range(low, capacity + 1, low):  # cells a to b - 1 need only cells before a
+        b = min(a + low, capacity + 1)
+        best[a:b] = np.maximum.accumulate(np.maximum((last[a:b, capacity + 1 - a:] + best[a - 1::-1]).max(1), best[a - 1]))
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
+    while c >= low:
+        if best[c] == best[c - 1]:
             c -= 1
-        else:
-            out[int(choice[c])] = out.get(int(choice[c]), 0) + 1
-            c -= int(lengths[choice[c]])
-    return out
+            continue
+        k = np.searchsorted(lengths, c, "right")
+        j = int(np.argmax(values[:k] + best[c - lengths[:k]]))
+        out[j] = out.get(j, 0) + 1
+        c -= int(lengths[j])
+    return out, float(best[capacity])
 
 
-def weights_round(lengths: np.ndarray, counts: np.ndarray, capacity: int, iterations: int = ITERATIONS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their fractional uses, by multiplicative weights on the covering program.
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, goal: float = GOAL, steps: int = STEPS) -> tuple[dict[tuple, float], float]:
+    """Fractional uses of configurations (sorted (index, uses) pairs) by multiplicative weights, until they
+    hold ``goal`` of all tokens, and the best lower bound of the program met on the way.
 
-    A length starts at the price (length / capacity) ** (1 + TILT), so that lengths which are hard to
-    place are covered while their partners last; each use multiplies the prices of the lengths in the
-    configuration by exp(-RATE * the share of them it covers), and a covered length is worth nothing.
+    A piece of a length starts at the price length / capacity; the price falls by exp(-rate) while all
+    pieces of its length are covered once.  A step uses its configuration so often that no length in it
+    is covered by more than a fixed share of its pieces.
     """
-    n = counts.astype(float)
-    covered, uses = np.zeros(len(n)), {}
-    start = (lengths / capacity) ** (1 + TILT)
-    for _ in range(iterations):
-        conf = knapsack(np.where(covered < n, start * np.exp(-RATE * covered / n), 0.0), lengths, capacity)
-        if not conf:
+    n, start = counts.astype(float), lengths / capacity
+    covered, uses, bound = np.zeros(len(n)), {}, 0.0
+    width = max(WIDTH, len(n) / (2 * steps))
+    most = goal * float(n @ lengths)
+    for _ in range(2 * steps):
+        if covered @ lengths >= most:
             break
+        share = covered / n
+        price = start * np.exp(-rate * (share - share.min()))
+        conf, value = _knapsack(price, lengths, capacity)
+        bound = max(bound, float(n @ price) / value)
         idx, a = np.fromiter(conf, int), np.fromiter(conf.values(), float)
-        step = max(1.0, float(np.min((n - covered)[idx] / a)))
+        step = width * float((n[idx] / a).min())
         covered[idx] += a * step
         key = tuple(sorted(conf.items()))
         uses[key] = uses.get(key, 0.0) + step
-    return [(dict(k), x) for k, x in uses.items()]
+    return uses, bound
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing over a histogram; alike sequences are filled together."""
+def best_fit(left: dict[int, int], plan: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The plan with all pieces left, longest first, where they fit best; alike sequences are filled together."""
     room: dict[int, list] = {}  # free tokens -> [(configuration, copies)]
-    for i in np.argsort(-lengths):
-        n, size = int(counts[i]), int(lengths[i])
+    for conf, copies in plan:
+        room.setdefault(capacity - sum(k * a for k, a in conf.items()), []).append((conf, copies))
+    for size in sorted(left, reverse=True):
+        n = left[size]
         while n:
             fit = min((r for r in room if r >= size), default=None)
             if fit is None:
                 each = min(n, capacity // size)
                 copies = n // each
-                room.setdefault(capacity - each * size, []).append(({int(i): each}, copies))
+                room.setdefault(capacity - each * size, []).append(({size: each}, copies))
                 n -= each * copies
                 continue
             conf, copies = room[fit].pop()
@@ -95,40 +113,61 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
             if used < copies:
                 room.setdefault(fit, []).append((conf, copies - used))
             more = dict(conf)
-            more[int(i)] = more.get(int(i), 0) + each
+            more[size] = more.get(size, 0) + each
             room.setdefault(fit - each * size, []).append((more, used))
             n -= each * used
     return [x for parts in room.values() for x in parts]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: uses} and how often each is used; every piece has exactly one slot."""
-    out: list[tuple[dict[int, int], int]] = []
-    left = {k: v for k, v in histogram.items() if v}
-    if left.get(capacity):
-        out.append(({capacity: 1}, left.pop(capacity)))
-    for _ in range(ROUNDS):
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(x)] for x in lengths], np.int64)
+def _rounded(histogram: dict[int, int], capacity: int, rate: float) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """A plan from fractional uses at this rate, and the lower bound of its first solution."""
+    left, plan, bound = dict(histogram), [], 0.0
+    for k in range(ROUNDS):
+        lengths = np.array(sorted(x for x in left if x > capacity // SMALL), np.int64)
+        counts = np.array([left[x] for x in lengths.tolist()], np.int64)
         if counts.sum() <= 2 * len(lengths):
             break
-        done = 0
-        for conf, x in weights_round(lengths, counts, capacity):
-            slack = capacity - sum(int(lengths[i]) * a for i, a in conf.items())
-            times = min([int(x), *(int(counts[i]) // a for i, a in conf.items())])
-            if times > 0 and slack <= capacity // 256:
-                for i, a in conf.items():
+        last = k == ROUNDS - 1
+        uses, low = fractional(lengths, counts, capacity, rate, 1.2 if last else GOAL, STEPS if k == 0 else STEPS // 2)
+        if k == 0:
+            bound = low
+        for conf, x in sorted(uses.items(), key=lambda u: (-u[1], u[0])):
+            times = min([int(np.ceil(x)) if last else int(x), *(int(counts[i]) // a for i, a in conf)])
+            if times > 0:
+                for i, a in conf:
                     counts[i] -= a * times
-                out.append(({int(lengths[i]): a for i, a in conf.items()}, times))
-                done += times
-        left = {int(x): int(c) for x, c in zip(lengths, counts) if c}
-        if not done:
+                plan.append(({int(lengths[i]): a for i, a in conf}, times))
+        left.update(zip(lengths.tolist(), counts.tolist()))
+        left = {x: n for x, n in left.items() if n}
+    return best_fit(left, plan, capacity), bound
+
+
+def solve_with_bound(histogram: dict[int, int], capacity: int = CAPACITY, rates: tuple[float, ...] = RATES) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations {length: uses} and how often each is used, with exactly one slot for every piece; and
+    a number of sequences that no packing can go below.
+
+    Rates are tried until a plan is near the bound.  Where none is, as the program's own optimum can be far
+    above the bound that was found, best fit alone is compared too; the fewest sequences are taken.
+    """
+    left = {k: v for k, v in histogram.items() if v}
+    full = [({capacity: 1}, left.pop(capacity))] if left.get(capacity) else []
+    plan, size, bound = [], 0, sum(k * v for k, v in left.items()) / capacity
+    for rate in rates:
+        other, low = _rounded(left, capacity, rate)
+        bound, n = max(bound, low), sum(x for _, x in other)
+        if not plan or n < size:
+            plan, size = other, n
+        if size <= bound * NEAR + 1:
             break
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(x)] for x in lengths], np.int64)
-        out += [({int(lengths[i]): a for i, a in conf.items()}, n) for conf, n in best_fit(lengths, counts, capacity)]
-    return out
+    else:
+        other = best_fit(left, [], capacity)
+        if sum(n for _, n in other) < size:
+            plan = other
+    return full + plan, int(np.ceil(bound - 1e-6 * max(1.0, bound))) + sum(n for _, n in full)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    return solve_with_bound(histogram, capacity)[0]
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
@@ -178,16 +217,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return out.withColumn("_task", F.spark_partition_id())
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2, **names) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 2, bound: str | None = None, **names) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     Null text: only the end id.  Null or repeated doc_ids: each row is a document of its own.  Empty
     table: no rows.  Other columns are not read.  A length that a third of all pieces share is ranked
     task by task, never in one task.  To the driver goes one number per length and task-free slots back.
+    With ``bound``, a column of that name has the number of sequences that no packing can go below.
     """
     cut = written(pieces(docs, tokenizer_path, capacity, end_id, **names), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(solve(histogram, capacity))
+    plan, least = solve_with_bound(histogram, capacity)
+    table = slots(plan)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy("length", "_task").agg(F.count("*").alias("n")).select("length", "_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     inner = F.row_number().over(Window.partitionBy("length", "_task").orderBy("doc_id", "start")) - 1
@@ -205,4 +246,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     shape = [f for f in ranked.schema.fields if f.name != "_rank"]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(task(place), kind)
+    packed = ranked.mapInArrow(task(place), kind)
+    return packed.withColumn(bound, F.lit(least).cast("long")) if bound else packed

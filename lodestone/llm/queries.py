@@ -43,7 +43,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), packing.CAPACITY, PACK_END_ID)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), packing.CAPACITY, PACK_END_ID, bound="lower_bound")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,48 @@ def test_solution_covers_the_histogram_exactly(histogram):
     assert len(table["length"]) == sum(len(c) for c, _ in plan)
 
 
+def brute_knapsack(price, capacity):
+    best = [0.0] * (capacity + 1)
+    for c in range(1, capacity + 1):
+        best[c] = max([best[c - 1], *(v + best[c - k] for k, v in price.items() if k <= c)])
+    return best[capacity]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.floats(0.01, 1), min_size=1, max_size=12))
+def test_knapsack_of_any_prices(price):
+    lengths = np.array(sorted(price))
+    conf = packing.knapsack(np.array([price[k] for k in lengths.tolist()]), lengths, 64)
+    assert sum(lengths[i] * n for i, n in conf.items()) <= 64
+    assert sum(price[int(lengths[i])] * n for i, n in conf.items()) == pytest.approx(brute_knapsack(price, 64))
+
+
+def test_weights_beat_greedy_configurations_and_stay_near_the_bound():
+    rng = np.random.default_rng(0)
+    cases = [np.repeat([600, 424, 400, 624, 300, 212, 512, 324], [900, 500, 700, 300, 2000, 1500, 800, 1000]), rng.integers(200, 400, 20000), rng.integers(300, 700, 20000), np.clip(np.exp(rng.normal(5.2, 1.0, 8000)).astype(int) + 2, 2, 1024), np.repeat([513, 342, 147, 23], 500)]
+    for k, lengths in enumerate(cases):
+        histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+        plan, bound = packing.solve_with_bound(histogram)
+        n = sum(times for _, times in plan)
+        assert -(-sum(lengths) // 1024) <= bound <= n <= bound + len(histogram) + 12
+        if k == 1:
+            greedy = sum(times for _, times in packing._rounded(histogram, 1024, 0.0)[0])
+            alone = sum(times for _, times in packing.best_fit(histogram, [], 1024))
+            assert n < 0.97 * greedy and n < 0.97 * alone
+
+
+def test_fractional_uses_cover_all_lengths_alike_and_price_a_bound():
+    lengths, counts = np.array([300, 340, 380]), np.array([605, 605, 604])
+    uses, bound = packing.fractional(lengths, counts, 1024, 4.0)
+    covered = np.zeros(3)
+    for conf, x in uses.items():
+        assert sum(lengths[i] * a for i, a in conf) <= 1024 and x > 0
+        for i, a in conf:
+            covered[i] += a * x
+    assert all(0.8 < c / n < 1.05 for c, n in zip(covered, counts)) and any(x != int(x) for x in uses.values())
+    assert 600 <= bound <= 604.7  # three pieces fit a sequence, in any mixture up to the capacity
+
+
 def test_knapsack_is_optimal():
     lengths, values = np.array([3, 5, 7]), np.array([0.31, 0.5, 0.72])
     conf = packing.knapsack(values, lengths, 11)
