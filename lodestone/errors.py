@@ -17,6 +17,11 @@ class CorpusAlreadyExists(EngineError):
         super().__init__(f"There is already a corpus named '{name}'.")
 
 
+class ConcurrentChange(EngineError):
+    def __init__(self):
+        super().__init__("The catalog was changed by someone else meanwhile; nothing was done.")
+
+
 class FileNotIndexed(EngineError):
     def __init__(self, path: str):
         super().__init__(f"The corpus has no entry '{path}'.")

@@ -30,9 +30,9 @@ def fuse(lists: list[DataFrame], k: int, key: str, within: tuple[str, ...] = ())
     for other in lists[1:]:
         rows = rows.unionByName(other)
     by = [F.col(c) for c in within]
-    full = rows.groupBy(*by).agg(F.count_distinct("list_no").alias("_lists"))
-    joined = rows.join(F.broadcast(full), list(within)) if within else rows.crossJoin(F.broadcast(full))  # one row per group
-    summed = joined.groupBy(*by, key).agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.min_by("score", "list_no").alias("own"), F.max("_lists").alias("_lists"))
+    own = Window.partitionBy(*(by or [F.lit(0)]))  # so a list is made once, for its ranks and for the number of lists
+    known = rows.withColumn("_lists", F.size(F.collect_set("list_no").over(own)))
+    summed = known.groupBy(*by, key).agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.min_by("score", "list_no").alias("own"), F.max("_lists").alias("_lists"))
     out = summed.select(*by, key, F.when(F.col("_lists") == 1, F.col("own")).otherwise(F.col("rrf")).alias("score"))
     if not within:
         return out.orderBy(F.desc("score"), key).limit(k)

@@ -18,50 +18,59 @@ def check(mode: str, k: int) -> None:
         raise EngineError("At least one result must be asked for.")
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | None, k: int, mode: str = "dense", corpus: str | None = None) -> DataFrame:
+def lexical_scores(chunks: DataFrame, query: str, corpus: str | None = None) -> DataFrame:
+    """chunk_id, corpus, score of all chunks (chunk_id, corpus, text) with a term of the query, of one corpus or
+    all; statistics are those of all corpora."""
+    return bm25.scores(chunks, query, None if corpus is None else F.col("corpus") == corpus, "chunk_id", extra=("corpus",))
+
+
+def search(lexical: DataFrame | None, embeddings: DataFrame | None, vector: list[float] | None, k: int, mode: str = "dense", corpus: str | None = None) -> DataFrame:
     """The k best chunks: chunk_id, score.  corpus None: all corpora, ranked together.
 
-    chunks: chunk_id, corpus, text.  embeddings: chunk_id, corpus, embedding of length one.  Lists are cut
-    to the pool before they are fused, and texts are read only for the lexical list.  The dense list of
-    one corpus is in order of distance, that of all in order of the score.
+    lexical: chunk_id, corpus, score of the query, from texts or an index.  embeddings: chunk_id, corpus,
+    embedding of length one.  Lists are cut to the pool before they are fused.  The dense list of one
+    corpus is in order of distance, that of all in order of the score.
     """
     check(mode, k)
-    lists = []
+    scope, lists = None if corpus is None else F.col("corpus") == corpus, []
     if mode != "lexical":
-        scope = None if corpus is None else F.col("corpus") == corpus
         near = vectors.knn(embeddings, vector, fusion.pool(k), scope, "chunk_id")
         lists.append(fusion.ranked(near, 0, "chunk_id", "distance", ascending=True) if corpus is not None else fusion.ranked(near, 0, "chunk_id"))
     if mode != "dense":
-        scope = None if corpus is None else F.col("corpus") == corpus
-        best = bm25.search(chunks, query, fusion.pool(k), scope, "chunk_id", extra=() if corpus is None else ("corpus",))
+        best = bm25.best(lexical, fusion.pool(k))
         lists.append(fusion.ranked(best, 1, "chunk_id"))
     return fusion.fuse(lists, k, "chunk_id")
 
 
-def search_grouped(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | None, k: int, mode: str = "hybrid") -> DataFrame:
+def search_grouped(lexical: DataFrame | None, dense: list[tuple[DataFrame, list[float]]], k: int, mode: str = "hybrid") -> DataFrame:
     """The k best chunks of each corpus by itself: corpus, chunk_id, score.
 
-    One pass ranks all corpora at once; statistics of the lexical index are those of all corpora.
+    One pass ranks all corpora at once.  lexical: chunk_id, corpus, score.  dense: per model, the embeddings
+    (chunk_id, corpus, embedding) of its corpora and the query's vector.
     """
     check(mode, k)
-    n = fusion.pool(k)
-    lists = []
+    n, lists = fusion.pool(k), []
+
+    def first(rows: DataFrame, *order) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("corpus").orderBy(*order, "chunk_id"))
+        return rows.withColumn("_r", rank).filter(F.col("_r") <= n)
+
     if mode != "lexical":
-        dist = vectors.distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
-        rank = F.row_number().over(Window.partitionBy("corpus").orderBy("distance", "chunk_id"))
-        near = embeddings.select("corpus", "chunk_id", dist.alias("distance")).withColumn("_r", rank).filter(F.col("_r") <= n).withColumn("score", vectors.score(F.col("distance")))
+        near = None
+        for embeddings, vector in dense:
+            dist = vectors.distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
+            own = embeddings.select("corpus", "chunk_id", dist.alias("distance"))
+            near = own if near is None else near.unionByName(own)
+        near = first(near, "distance").withColumn("score", vectors.score(F.col("distance")))
         lists.append(fusion.ranked(near, 0, "chunk_id", "distance", ascending=True, within=("corpus",)))
     if mode != "dense":
-        best = bm25.scores(chunks, query, None, "chunk_id", extra=("corpus",))
-        rank = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("score"), "chunk_id"))
-        best = best.withColumn("_r", rank).filter(F.col("_r") <= n)
-        lists.append(fusion.ranked(best, 1, "chunk_id", within=("corpus",)))
+        lists.append(fusion.ranked(first(lexical.select("corpus", "chunk_id", "score"), F.desc("score")), 1, "chunk_id", within=("corpus",)))
     return fusion.fuse(lists, k, "chunk_id", within=("corpus",))
 
 
 def with_texts(found: DataFrame, chunks: DataFrame, files: DataFrame, corpora: DataFrame) -> DataFrame:
     """Results with text, path, corpus name and position: the found rows are few and go to the tables."""
-    return (chunks.join(F.broadcast(found), chunks["id"] == found["chunk_id"])
+    return (chunks.select("id", "file_id", "text", "position").join(F.broadcast(found), F.col("id") == F.col("chunk_id"))
             .join(files.select(F.col("id").alias("_f"), "path", "corpus_id"), F.col("file_id") == F.col("_f"))
             .join(corpora.select(F.col("id").alias("_c"), F.col("name").alias("corpus")), F.col("corpus_id") == F.col("_c"))
             .select("chunk_id", "text", "path", "corpus", "position", F.col("score").cast("float").alias("score"))

@@ -1,10 +1,12 @@
-"""Catalog of models, corpora, files, chunks and vectors as Parquet tables.
-
-A snapshot file names the directories of each table; a change writes new directories and then replaces
-the snapshot by a rename, so a reader sees the state before or after and a failed change leaves the old one.
-models, corpora and files are rewritten as a whole.  chunks and embeddings only grow by a directory a
-change; what belongs to a file that is gone is left out by a semi join with files, whose ids are never
-used again, until compact() rewrites them.
+"""Catalog of models, corpora, files, chunks, vectors and a full-text index as Parquet tables.
+
+A snapshot file names the directories of each table; a change writes new directories and then the next
+snapshot, by a rename that fails where another change has written it meanwhile.  So a reader sees the state
+before or after, a failed change leaves the old one, and of two changes at once one is refused.
+models, corpora and files are rewritten as a whole.  chunks, embeddings and postings only grow by a
+directory a change, which belongs to one corpus, so a search of one corpus reads its vectors only; what
+belongs to a file that is gone is left out by a semi join with files, whose ids are never used again,
+until compact() rewrites them.
 """
 
 from __future__ import annotations
@@ -13,15 +15,20 @@ import json
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..embed import Embedder, embed
-from ..errors import CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
+from ..errors import ConcurrentChange, CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
+from ..functions import fts
+from ..operators import bm25
 from ..operators.chunk import budget, chunks as chunk_column
 from ..schemas import MODEL_SOURCES, TABLES
 
-GROWING = ("chunks", "embeddings")
+GROWING = ("chunks", "embeddings", "postings")
+#: Snapshots that stay, for readers that have just found one.
+KEPT_SNAPSHOTS = 20
 ENV = "LODESTONE_DB"
 
 
@@ -46,37 +53,61 @@ class Catalog:
         jvm = spark._jvm.org.apache.hadoop.fs
         self._path = jvm.Path
         self._fs = jvm.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(jvm.Path(self.root))
-        if not self._fs.exists(self._path(f"{self.root}/snapshot.json")):
-            self._publish({"tables": {t: [] for t in TABLES}, "next": {"models": 1, "corpora": 1, "files": 1, "chunks": 1}})
+        self._fs.mkdirs(jvm.Path(f"{self.root}/snapshots"))
+        self._context = jvm.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
+        if not self._versions():
+            try:
+                self._publish({"version": 0, "tables": {t: [] for t in TABLES}, "next": {"models": 1, "corpora": 1, "files": 1, "chunks": 1}})
+            except ConcurrentChange:
+                pass  # someone else has just made it
 
     # -- snapshots -------------------------------------------------------------------------------
+    def _snapshot(self, version: int):
+        return self._path(f"{self.root}/snapshots/{version:012}.json")
+
+    def _versions(self) -> list[int]:
+        names = (f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/snapshots")))
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+
     def _state(self) -> dict:
-        stream = self._fs.open(self._path(f"{self.root}/snapshot.json"))
+        stream = self._fs.open(self._snapshot(self._versions()[-1]))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _publish(self, state: dict) -> None:
-        new = self._path(f"{self.root}/snapshot-{uuid.uuid4().hex}.tmp")
+        """Write the snapshot after the one that state came from; refused where there is one already."""
+        state["version"] += 1
+        new = self._path(f"{self.root}/snapshots/{uuid.uuid4().hex}.tmp")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(
-            new, self._path(f"{self.root}/snapshot.json"), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0) if not self._fs.exists(self._path(f"{self.root}/snapshot.json")) else self._overwrite())
-
-    def _overwrite(self):
-        rename = getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename")
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.valueOf("OVERWRITE")
-        return options
+        try:
+            self._context.rename(new, self._snapshot(state["version"]), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise ConcurrentChange() from None
+            raise
+        for old in self._versions()[:-KEPT_SNAPSHOTS]:
+            self._fs.delete(self._snapshot(old), False)
 
     def _write(self, name: str, df: DataFrame) -> str:
         place = f"{self.root}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(place)
         return place
 
+    def _grow(self, name: str, df: DataFrame) -> list[str]:
+        """Write rows of a growing table: a directory for each corpus.  Postings lie in order of term, so a
+        search reads few row groups."""
+        df = df.select(*self._columns(name))
+        if name == "postings":
+            df = df.repartitionByRange("term").sortWithinPartitions("corpus_id", "term")
+        place = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        df.withColumn("corpus", F.col("corpus_id")).write.partitionBy("corpus").parquet(place)
+        return [f"{place}/{f.getPath().getName()}" for f in self._fs.listStatus(self._path(place)) if f.isDirectory() and f.getPath().getName().startswith("corpus=")]
+
     def staged(self, df: DataFrame) -> DataFrame:
         """df as a written table that cleanup() takes away."""
         return self.spark.read.schema(df.schema).parquet(self._write("staging", df))
@@ -85,35 +116,40 @@ class Catalog:
         """Take away staged tables; not while a change is running."""
         self._fs.delete(self._path(f"{self.root}/staging"), True)
 
-    def _read(self, state: dict, name: str) -> DataFrame:
+    def _read(self, state: dict, name: str, corpus_id: int | None = None) -> DataFrame:
         places = state["tables"][name]
+        if corpus_id is not None and name in GROWING:
+            places = [p for p in places if p.endswith(f"/corpus={corpus_id}")]
         return self.spark.read.schema(TABLES[name]).parquet(*places) if places else self.spark.createDataFrame([], TABLES[name])
 
     def _commit(self, state: dict, rewritten: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> None:
         for name, df in rewritten.items():
-            state["tables"][name] = [self._write(name, df.select(*self._columns(name)))]
+            state["tables"][name] = self._grow(name, df) if name in GROWING else [self._write(name, df.select(*self._columns(name)))]
         for name, df in (added or {}).items():
-            state["tables"][name] = [*state["tables"][name], self._write(name, df.select(*self._columns(name)))]
+            state["tables"][name] = [*state["tables"][name], *self._grow(name, df)]
         self._publish(state)
 
     def _columns(self, name: str) -> list[str]:
         return [part.split()[0] for part in TABLES[name].split(", ")]
 
-    def table(self, name: str) -> DataFrame:
-        """A table as it stands: chunks and embeddings of files that are there."""
+    def table(self, name: str, corpus_id: int | None = None) -> DataFrame:
+        """A table as it stands: of growing ones the rows of files that are there, of one corpus or all."""
         state = self._state()
-        df = self._read(state, name)
-        if name == "chunks":
-            return df.join(self._read(state, "files").select(F.col("id").alias("file_id")), "file_id", "left_semi").select(*self._columns("chunks"))
-        if name == "embeddings":
-            live = self._read(state, "chunks").join(self._read(state, "files").select(F.col("id").alias("file_id")), "file_id", "left_semi")
-            return df.join(live.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*self._columns("embeddings"))
-        return df
+        df = self._read(state, name, corpus_id)
+        if name not in GROWING:
+            return df
+        files = self._read(state, "files").select(F.col("id").alias("file_id"))
+        return df.join(files, "file_id", "left_semi").select(*self._columns(name))
+
+    def index_size(self) -> DataFrame:
+        """Statistics of the full-text index, one row: chunks, and their mean length in tokens."""
+        chunks = F.sum("chunk_count")
+        return self.table("files").agg(F.coalesce(chunks, F.lit(0)).alias("n"), (F.sum("token_count") / chunks).alias("avgdl"))
 
     def compact(self) -> None:
-        """Rewrite chunks and embeddings without what is gone."""
-        chunks, embeddings = self.table("chunks"), self.table("embeddings")
-        self._commit(self._state(), {"chunks": chunks, "embeddings": embeddings})
+        """Rewrite chunks, embeddings and postings without what is gone."""
+        state = self._state()
+        self._commit(state, {name: self.table(name) for name in GROWING})
 
     # -- models and corpora ----------------------------------------------------------------------
     def upsert_model(self, source: str, identifier: str, dimensions: int) -> Row:
@@ -204,6 +240,8 @@ class Catalog:
         state = self._state()
         size, overlap = budget(embedder.max_input_tokens)
         cut = entries.withColumn("_c", chunk_column(F.col("text"), size, overlap)).drop("text").withColumn("chunk_count", F.size("_c"))
+        n_tokens = F.transform("_c", lambda c: F.size(fts.tokens(c["text"])).cast("long"))
+        cut = cut.withColumn("token_count", F.aggregate(n_tokens, F.lit(0).cast("long"), lambda a, b: a + b))
         staged = self.staged(cut)
         first = state["next"]["files"]
         known = staged.filter("chunk_count > 0")
@@ -215,10 +253,12 @@ class Catalog:
         files = self._read(state, "files")
         kept = files.join(staged.select("path", F.lit(row["id"]).alias("corpus_id")), ["corpus_id", "path"], "left_anti")
         fresh = known.join(listing.select("path", "id", "chunk_base"), "path")
-        new_files = fresh.select("id", F.lit(row["id"]).alias("corpus_id"), "path", "source_path", "description", "mtime", "size", F.col("chunk_count").cast("int").alias("chunk_count"), F.current_timestamp().alias("indexed_at"))
-        chunks = fresh.select(F.col("id").alias("file_id"), "chunk_base", F.inline("_c")).withColumn("id", F.col("chunk_base") + F.col("position"))
-        embeddings = chunks.select(F.lit(row["id"]).alias("corpus_id"), F.col("id").alias("chunk_id"), embed(F.col("text"), embedder).alias("embedding"))
-        self._commit(state, {"files": kept.unionByName(new_files)}, {"chunks": chunks, "embeddings": embeddings})
+        new_files = fresh.select("id", F.lit(row["id"]).alias("corpus_id"), "path", "source_path", "description", "mtime", "size", F.col("chunk_count").cast("int").alias("chunk_count"), "token_count", F.current_timestamp().alias("indexed_at"))
+        chunks = fresh.select(F.lit(row["id"]).alias("corpus_id"), F.col("id").alias("file_id"), "chunk_base", F.inline("_c")).withColumn("id", F.col("chunk_base") + F.col("position"))
+        named = chunks.withColumnRenamed("id", "chunk_id")
+        embeddings = named.select("corpus_id", "file_id", "chunk_id", embed(F.col("text"), embedder).alias("embedding"))
+        postings, _ = bm25.build_postings(named, extra=("corpus_id", "file_id"))
+        self._commit(state, {"files": kept.unionByName(new_files)}, {"chunks": chunks, "embeddings": embeddings, "postings": postings})
         return staged.select("path", "chunk_count")
 
     def _with_ids(self, rows: DataFrame, first_id: int, first_chunk: int) -> DataFrame:

@@ -223,12 +223,12 @@ def rrf_three_lists(spark, sf):
 
 @query(f"WITH {_LEX}, {_dense_sql('dn', order='s DESC')} " + _FUSED.format("SELECT id, rank FROM dn UNION ALL SELECT id, rank FROM lx"))
 def search_all_shared(spark, sf):
-    return _rounded(search.search(_docs(spark, sf), _vectors(spark, sf), WORDS, _query_vector(spark, sf), 10, "hybrid"), "score")
+    return _rounded(search.search(search.lexical_scores(_docs(spark, sf), WORDS), _vectors(spark, sf), _query_vector(spark, sf), 10, "hybrid"), "score")
 
 
 @query(f"WITH {bm25_sql(WORDS)} SELECT id AS chunk_id, round(score, 6) AS score FROM bm WHERE corpus = '{SCOPE}' ORDER BY bm.score DESC, id LIMIT 5")
 def search_one_lexical(spark, sf):
-    return _rounded(search.search(_docs(spark, sf), _vectors(spark, sf), WORDS, None, 5, "lexical", SCOPE), "score")
+    return _rounded(search.search(search.lexical_scores(_docs(spark, sf), WORDS, SCOPE), None, None, 5, "lexical", SCOPE), "score")
 
 
 @query(f"""WITH {bm25_sql(WORDS)}, vc AS (SELECT e.vec_id AS id, 'src' || e.label AS corpus, {_DIST} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUERY_VEC}) q),
@@ -239,7 +239,7 @@ s AS (SELECT corpus, id, CASE WHEN max(lists) = 1 THEN min(own) ELSE sum(1 / (60
 SELECT corpus, id AS chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY corpus ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
 def search_all_grouped(spark, sf):
     v = _vectors(spark, sf).withColumn("corpus", F.concat(F.lit("src"), "corpus"))
-    return _rounded(search.search_grouped(_docs(spark, sf), v, WORDS, _query_vector(spark, sf), 5, "hybrid"), "score")
+    return _rounded(search.search_grouped(search.lexical_scores(_docs(spark, sf), WORDS), [(v, _query_vector(spark, sf))], 5, "hybrid"), "score")
 
 
 @query(f"""WITH {bm25_sql(WORDS)} SELECT id AS chunk_id, 'f' || id AS path, d.source AS corpus, round(s.score, 4) AS score FROM
