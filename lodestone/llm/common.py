@@ -19,9 +19,11 @@ _SPACE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, conf[len("file://"):], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", conf)
@@ -63,6 +65,12 @@ def unused(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame):
+    """A hash of all columns of a row: rows of one hash are taken to be the same in every column."""
+    cols = [F.to_json(f"`{f.name}`") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return F.xxhash64(F.array(*[c.isNull() for c in cols]), *cols)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Arrow batches of so many rows at the most for what runs inside: texts are long, and a batch is in

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, task, written
+from .common import WORD, n_words, row_hash, task, unused, written
 
 _WORDS = re.compile(WORD)
 
@@ -120,13 +120,13 @@ def mix(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "tex
     """The mix of all documents: (documents, pieces).
 
     documents: _row, doc_id, size, source_size, target, taken.  pieces: t, _row, doc_id, h (hash of the
-    text), p, size, first, words: in slot t of the mix stand so many words of the document's pass p from
+    whole row), p, size, first, words: in slot t of the mix stand so many words of the document's pass p from
     word ``first`` on.
     Only sizes and keys are shuffled, never texts.  Null text: size 0, taken 0.  Null source: a source of its
     own, last.  Repeated rows and doc_ids are documents of their own, told apart by ``_row``.  Empty
-    table: no rows.  Other columns are not read.
+    table: no rows.  Other columns only tell rows apart.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
+    d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`")).alias("size"), row_hash(docs).alias("_h")).withColumn("_row", F.monotonically_increasing_id())
     d = written(d, "sizes")
     sources, block = plan(d)
     sources = written(sources.coalesce(1), "sources")
@@ -146,22 +146,29 @@ def mix(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "tex
 
 def mixed_documents(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows of docs as the mix takes them: one row for each pass over a document, none where it takes no
-    words, and the text cut after its last word taken where the source's quota ends within it."""
+    words, and the text cut after its last word taken where the source's quota ends within it.
+
+    Rows that differ in any column are documents of their own, with their own columns; rows that are the
+    same in all are counted.
+    """
     _, pieces = mix(docs, seed, doc_id, text, source)
-    taken = written(pieces.groupBy("_row", F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "p", F.col("size").alias("size_")).agg(F.sum("words").alias("_words")), "taken")
-    keyed = docs.withColumn("_key", F.xxhash64(text)).dropDuplicates([doc_id, "_key"])
-    rows = keyed.join(taken, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")))
+    each = pieces.groupBy("_row", "doc_id", "h", "p", "size").agg(F.sum("words").alias("words"))
     names = docs.columns
+    own, d, h, size, words, n = unused(names, "hash_", "doc_", "h_", "size_", "words_", "n_")
+    taken = written(each.groupBy(F.col("doc_id").alias(d), F.col("h").alias(h), "p", F.col("size").alias(size), F.col("words").alias(words)).agg(F.count("*").alias(n)).drop("p"), "taken")
+    keyed = docs.withColumn(own, row_hash(docs)).dropDuplicates([doc_id, own])  # rows that are the same
+    rows = keyed.join(taken, F.col(f"`{doc_id}`").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)))
+    rows = rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
 
     def cut(batches):
         for batch in batches:
-            words, size = batch.column("_words").to_numpy(), batch.column("size_").to_numpy()
+            most, all_ = batch.column(words).to_numpy(), batch.column(size).to_numpy()
             texts = batch.column(text)
-            if (words < size).any():
+            if (most < all_).any():
                 texts = texts.to_pylist()
-                for i in np.flatnonzero(words < size):
-                    texts[i] = texts[i][:next(itertools.islice(_WORDS.finditer(texts[i]), int(words[i]) - 1, None)).end()]
+                for i in np.flatnonzero(most < all_):
+                    texts[i] = texts[i][:next(itertools.islice(_WORDS.finditer(texts[i]), int(most[i]) - 1, None)).end()]
                 texts = pa.array(texts, batch.schema.field(text).type)
             yield pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names=names)
 
-    return rows.select(*names, "_words", "size_").mapInArrow(task(cut), docs.schema)
+    return rows.select(*(f"`{c}`" for c in names), words, size).mapInArrow(task(cut), docs.schema)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, _SPACE
+from .common import WORD, _SPACE, unused
 
 #: Rules in the order of their bits: a document fails where the condition holds.
 RULES: dict[str, str] = {
@@ -47,26 +47,29 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the measurements.  Names that docs already has are replaced."""
-    d = docs.drop(*MEASURES).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    squeezed = F.translate("_t", _SPACE, "")
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
+    """Add the measurements.  Names that docs already has are replaced.  3-word windows are told apart by
+    64-bit hashes."""
+    docs = docs.drop(*(m for m in MEASURES if m != text))
+    t, words, kept, win, at = unused([*docs.columns, *MEASURES], "t_", "words_", "lines_", "win_", "at_")
+    d = docs.withColumn(t, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    squeezed = F.translate(t, _SPACE, "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, _SPACE, "")) > 0)
     d = d.withColumns({
-        "_words": F.regexp_extract_all("_t", F.lit(f"({WORD})"), 1), "_lines": lines,
+        words: F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), kept: lines,
         "word_chars": F.length(squeezed).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
-    }).drop("_t")
+        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+    }).drop(t)
     d = d.withColumns({
-        "n_words": F.size("_words").cast("long"), "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_win": _repeat_words(F.col("_words")),
-    }).drop("_words", "_lines")
-    w = F.col("_win")
+        "n_words": F.size(words).cast("long"), "n_lines": F.size(kept).cast("long"),
+        "n_dup_lines": (F.size(kept) - F.size(F.array_distinct(kept))).cast("long"),
+        win: _repeat_words(F.col(words)),
+    }).drop(words, kept)
+    w = F.col(win)
     hit = F.filter(w, lambda x, k: (F.get(w, k + 1)["h"] == x["h"]) | (F.get(w, k - 1)["h"] == x["h"]))
-    d = d.withColumn("_at", F.array_sort(F.transform(hit, lambda x: x["i"]))).drop("_win")
-    at = F.col("_at")
-    covered = F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    d = d.withColumn(at, F.array_sort(F.transform(hit, lambda x: x["i"]))).drop(win)
+    a = F.col(at)
+    covered = F.aggregate(F.transform(a, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(a, k + 1) - x, F.lit(3)))), F.lit(0), lambda x, y: x + y)
+    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(at)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, shingle_sets
-from .common import group_task, small_batches, task, written
+from .common import group_task, row_hash, small_batches, task, written
 from .components import components, stars
 from .tokens import slices
 
@@ -420,14 +420,15 @@ def _open(postings: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, h (hash of its text), n_shingles, component_id, first (bool).
+    """Per row of docs: doc_id, h (hash of the whole row), n_shingles, component_id, first (bool).
 
-    component_id is the smallest doc_id reachable over links; ``first`` marks one row of each component.
+    component_id is the smallest doc_id reachable over links; ``first`` marks one row of each
+    component, and rows that are the same in all columns.
     Null or wordless text: empty set, linked with nothing.  Equal texts, repeated rows and repeated ids:
     rows of one class.  Null doc_id: takes part, and is the component_id only where all ids are null.
-    Empty table: no rows.  Other columns are not read.  Sets are compared by 64-bit hashes of shingles.
+    Empty table: no rows.  Other columns only tell rows apart.  Sets are compared by 64-bit hashes of shingles.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), row_hash(docs).alias("h"), F.col(f"`{text}`").alias("t"))
     chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
     n_fragments = _fragments(chars // 6, FRAGMENT)
     packed = _scan(docs, n_fragments, words).groupBy("frag").applyInPandas(group_task(_shared(-(-n_fragments // 8))), "bucket int, payload binary")

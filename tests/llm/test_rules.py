@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import html_text, language, mixing, quality, queries
+from lodestone.llm import html_text, language, lines, mixing, quality, queries
 from test_dedup import brute_components, brute_lines
 
 SF = "/root/testdata/sf0.001"
@@ -256,3 +257,110 @@ def test_pipeline_keeps_one_of_many_copies(spark, documents):
     texts = Counter(r["text"].rstrip("\n") for r in docs.collect())
     assert texts[copied] == 1 and texts[small] == 1 and len(texts) == 62 and not any("menu" in t for t in texts)
     assert {copied, small} <= {r["text"].rstrip("\n") for r in stages["source_mix"](spark, docs, SF).collect()}
+
+
+#: Every name that a module uses for itself, and the older forms of them.
+INNER = sorted(set("l_ rest_ keys_ site_ row_ i_ x_ key_ drop_ t_ lines_ win_ at_ hash_ doc_ h_ size_ words_ n_ html_ _l _rest _keys _site _row _t _words _lines _win _at _key _d _h _b _k p d h s t l x m n b r u v site key known n_docs n_site taken size target cid doc rank pos src first words sel shared".split()))
+
+
+def clashing(docs):
+    return docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for c in INNER if c not in docs.columns))
+
+
+def untouched(rows):
+    return all(r[c] == f"{c}:{'' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in INNER if c in r)
+
+
+def test_columns_that_clash_with_inner_names(spark, odd_documents):
+    docs = odd_documents.drop("size", "n_words", "kept")
+    wide = clashing(docs)
+    key = lambda df, *cols: Counter(map(tuple, df.select(*cols).collect()))
+    led, own = quality.ledger(wide), ("doc_id", "text", *quality.MEASURES, "failed_bits")
+    assert key(led, *own) == key(quality.ledger(docs), *own) and untouched([r.asDict() for r in led.collect()])
+    out, own = lines.drop_boilerplate(wide, 20, 2), ("doc_id", "text", "n_lines", "n_dropped")
+    assert key(out, *own) == key(lines.drop_boilerplate(docs, 20, 2), *own) and untouched([r.asDict() for r in out.collect()])
+    mixed = [r.asDict() for r in mixing.mixed_documents(wide).collect()]
+    assert untouched(mixed) and set(mixed[0]) == set(wide.columns)
+    pages = docs.select(F.col("doc_id"), F.concat(F.lit("<p>"), "text").alias("html"), *(F.lit(f"{c}:").alias(c) for c in INNER))
+    assert all(r[c] == f"{c}:" for r in html_text.main_text(pages).collect() for c in INNER)
+    assert set(corpus_pipeline.near_duplicates(spark, wide, SF).columns) == set(wide.columns)
+
+
+def test_mix_keeps_rows_with_one_id_and_text_apart(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("x", 50), "a", "en"), (1, words("x", 50), "b", "de"), (2, words("y", 80), "b", "de"), (2, words("y", 80), "b", "de"), (3, words("z", 40), "b", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.mix(docs)[0].collect()
+    got = mixing.mixed_documents(docs).collect()
+    assert {(r["source"], r["lang"]) for r in got if r["doc_id"] == 1} == {("a", "en"), ("b", "de")}
+    taken, total = Counter(), Counter()
+    for r in out:
+        taken[r["doc_id"]] += r["taken"]
+    for r in got:
+        total[r["doc_id"]] += len(r["text"].split())
+    assert taken == total
+    by_source = Counter()
+    for r in got:
+        by_source[r["source"]] += len(r["text"].split())
+    assert by_source["a"] == 100 and abs(by_source["b"] - 350) <= 2  # 150 % of 300 words; a stops at twice its 50
+
+
+def test_pipeline_keeps_one_row_of_an_id_by_its_columns(spark, documents):
+    text = "\n".join(" ".join(f"w{i * 7 + j}" for j in range(30)) for i in range(4))
+    rows = [(1, text, "en", "a", 5), (1, text, "de", "b", 5), (1, text, "de", "b", 5), (2, text + " end", "fr", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    again = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(3, "lang"), SF).collect()]
+    assert len(one) == 1 and one == again
+
+
+def targets(sizes):
+    """Targets by a plain search for the level that the open sources' weights are multiplied with."""
+    weights, total = [(5, 2, 1)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes)
+    low, high = 0.0, 2.0 * sum(sizes) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * s, level * w) for s, w in zip(sizes, weights)) < total else (low, level)
+    return [min(2 * s, high * w) for s, w in zip(sizes, weights)]
+
+
+def test_targets_of_the_mix(spark, documents):
+    size = Counter()
+    for r in documents.collect():
+        size[r["source"]] += len(WORD.findall(r["text"] or ""))
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(((size[n], n) for n in names), targets([size[n] for n in names])))
+    source = {r["doc_id"]: r["source"] for r in documents.collect()}
+    for r in mixing.mix(documents)[0].collect():
+        assert r["target"] == pytest.approx(want[r["source_size"], source[r["doc_id"]]], rel=1e-6)
+
+
+def test_language_features_and_decoding_equal_definition(spark, documents):
+    texts = [r["text"][:300] for r in documents.limit(12).collect()] + ["Ärger, é!", "a", "", None]
+    got = language.features(pa.array(texts))
+    for row, t in zip(got, texts):
+        b = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (t or "").encode()]
+        count = Counter()
+        for k in (1, 2, 3):
+            for i in range(len(b) - k + 1):
+                code = 0
+                for c in b[i:i + k]:
+                    code = code * 256 + c
+                count[((code * 0x9E3779B1 + k * 0x85EBCA6B) >> 7) % language.FEATURES] += 1
+        norm = sum(count.values()) ** 0.5
+        want = np.zeros(language.FEATURES)
+        for f, n in count.items():
+            want[f] = n ** 0.5 / norm
+        assert np.abs(row - want).max() < 1e-6
+    model = language.fit(documents)
+    rows = {r["doc_id"]: r for r in language.predict(documents, model).collect()}
+    for r in documents.limit(40).collect():
+        x = language.features(pa.array([r["text"]]))[0]
+        loss = []
+        for word in model.code.tolist():
+            part = [np.log1p(np.exp(-c * (float(x @ model.weights[:, j]) + float(model.bias[j])))) * float(model.trust[j]) for j, c in enumerate(word)]
+            loss.append(sum(part) / float(model.trust.sum()))
+        got, p = rows[r["doc_id"]], [np.exp(-4 * (v - min(loss))) for v in loss]
+        order = sorted(loss)
+        assert got["lang_pred"] == model.languages[int(np.argmin(loss))] and got["score"] == pytest.approx(max(p) / sum(p), rel=1e-4)
+        assert got["ambiguous"] == (order[1] - order[0] < 0.2)
