@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import lines, mixing, packing, quality, similarity
+from lodestone.llm.common import row_hash, unused
 from lodestone.llm.queries import PACK_END_ID, tokenizer_path
 
 
@@ -24,11 +25,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest doc_id."""
-    first = similarity.near_duplicates(docs).filter("first").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    """One document of each group of near-duplicates: the one of the smallest doc_id, and of rows with that id
+    the one of the least hash."""
+    d, h, own = unused(docs.columns, "doc_", "h_", "row_")
+    first = similarity.near_duplicates(docs).filter("first").select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    keyed = docs.withColumn(own, row_hash(docs))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(own) == F.col(h)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns)  # rows that are the same
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
