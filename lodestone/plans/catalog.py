@@ -11,8 +11,11 @@ until compact() rewrites them.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -44,6 +47,18 @@ def resolve_root(root: str | None = None) -> str:
         return os.path.join(".", ".lodestone", "index")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh place in the folder that the cluster shares (``spark.checkpoint.dir``), or, in local mode without
+    one, in a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise EngineError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
+        base = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -227,11 +242,11 @@ class Catalog:
         raise FileNotIndexed(path)
 
     # -- files -----------------------------------------------------------------------------------
-    def put_files(self, corpus: str, entries: DataFrame, embedder: Embedder) -> DataFrame:
+    def put_files(self, corpus: str, entries: DataFrame, embedder: Embedder, gone: DataFrame | None = None) -> DataFrame:
         """Insert or replace entries (path, source_path, description, mtime, size, text); returns (path, chunk_count).
 
-        An entry of a known path gets a new id, and its old chunks and vectors go; one whose text is blank
-        is taken out.  Chunking and embedding run in Arrow batches; ids follow from sorted entries.
+        An entry of a known path gets a new id, and its old chunks and vectors go; one whose text is blank, or
+        whose path is in gone (path), is taken out.  Chunking and embedding run in Arrow batches; ids follow from sorted entries.
         """
         row = self.corpus(corpus)
         model = self.model(row["model_id"])
@@ -251,7 +266,8 @@ class Catalog:
         state["next"]["files"] += totals["n"]
         state["next"]["chunks"] += totals["c"] or 0
         files = self._read(state, "files")
-        kept = files.join(staged.select("path", F.lit(row["id"]).alias("corpus_id")), ["corpus_id", "path"], "left_anti")
+        out = staged.select("path") if gone is None else staged.select("path").unionByName(gone.select("path"))
+        kept = files.join(out.select("path", F.lit(row["id"]).alias("corpus_id")), ["corpus_id", "path"], "left_anti")
         fresh = known.join(listing.select("path", "id", "chunk_base"), "path")
         new_files = fresh.select("id", F.lit(row["id"]).alias("corpus_id"), "path", "source_path", "description", "mtime", "size", F.col("chunk_count").cast("int").alias("chunk_count"), "token_count", F.current_timestamp().alias("indexed_at"))
         chunks = fresh.select(F.lit(row["id"]).alias("corpus_id"), F.col("id").alias("file_id"), "chunk_base", F.inline("_c")).withColumn("id", F.col("chunk_base") + F.col("position"))

@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import embed, tokenizers
+from . import cli, embed, tokenizers
+from .engine import Engine
 from .functions import fts, markup, text
 from .operators import bm25, chunk, fusion, search, vectors
 from .plans import catalog
 from .sources import convert
+from .tools import Server
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,11 +57,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 # -- lexical -------------------------------------------------------------------------------------
-def bm25_sql(words: str, name: str = "bm") -> str:
-    """Common table expressions that end in ``name(id, corpus, score)`` of all documents with a term."""
+def bm25_sql(words: str, name: str = "bm", table: str = "documents") -> str:
+    """Common table expressions that end in ``name(id, corpus, score)`` of all rows of a table (doc_id, source,
+    text) with a term."""
     return rf"""
-{name}_tok AS (SELECT doc_id AS id, source AS corpus, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS t FROM documents),
-{name}_len AS (SELECT d.doc_id AS id, count(t.t) AS len FROM documents d LEFT JOIN {name}_tok t ON t.id = d.doc_id GROUP BY d.doc_id),
+{name}_tok AS (SELECT doc_id AS id, source AS corpus, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS t FROM {table}),
+{name}_len AS (SELECT d.doc_id AS id, count(t.t) AS len FROM {table} d LEFT JOIN {name}_tok t ON t.id = d.doc_id GROUP BY d.doc_id),
 {name}_st AS (SELECT count(*) AS ndoc, sum(len) / count(*) AS av FROM {name}_len),
 {name}_q AS (SELECT t, count(*) AS qn FROM (SELECT unnest(regexp_extract_all(strip_accents(lower('{words}')), '[\p{{L}}\p{{N}}]+')) AS t) GROUP BY t),
 {name}_tf AS (SELECT id, corpus, t, count(*) AS f FROM {name}_tok SEMI JOIN {name}_q USING (t) GROUP BY ALL),
@@ -106,9 +109,9 @@ def fts_match_query(spark, sf):
 
 
 # -- chunks --------------------------------------------------------------------------------------
-def chunk_sql(size: int, overlap: int) -> str:
+def chunk_sql(size: int, overlap: int, before: str = "", table: str = "documents") -> str:
     w = size // 5
-    return rf"""WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS n, 0 AS s, -1 AS e FROM documents
+    return rf"""WITH RECURSIVE {before} c AS (SELECT doc_id, text, length(text) AS n, 0 AS s, -1 AS e FROM {table}
 UNION ALL SELECT doc_id, text, n, ns, CASE WHEN ns + {size} >= n THEN n
   WHEN instr(rw, chr(10) || chr(10)) > 0 THEN ss + {w} - instr(rw, chr(10) || chr(10)) + 1
   WHEN instr(rw, chr(10)) > 0 THEN ss + {w} - instr(rw, chr(10)) + 1
@@ -463,3 +466,145 @@ def windowed_events(spark, sf):
 
 
 ORACLE_SQL["windowed_events"] = "SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INTEGER AS ordinal FROM events"
+
+
+# -- a whole catalog of the tables ----------------------------------------------------------------
+#: Catalogs that were built, by application and tables.
+_ENGINES: dict[tuple[str, str], Engine] = {}
+
+
+class _SmallEmbedder(embed.HashingEmbedder):
+    source, identifier, dimensions = "hf", "registry/small", 64
+
+
+def _engine(spark, sf) -> Engine:
+    """A catalog through all kinds of changes: documents as one corpus, of which every tenth entry is replaced,
+    one removed and one renamed; benchmark texts as a corpus that is renamed; nations as one of another model;
+    an empty corpus, and one that is deleted with its file."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _ENGINES:
+        return _ENGINES[key]
+    embed.register("hf", lambda identifier: _SmallEmbedder())
+    engine = Engine(spark, catalog.scratch(spark, "registry"))
+    cat, big, small = engine.catalog, embed.HashingEmbedder(), _SmallEmbedder()
+
+    def entries(df: DataFrame, path, body) -> DataFrame:
+        return df.select(path.alias("path"), path.alias("source_path"), F.lit(None).cast("string").alias("description"), F.lit(1.0).alias("mtime"), F.length(body).cast("long").alias("size"), body.alias("text"))
+
+    d, path = _t(spark, sf, "documents"), F.concat(F.lit("/d/"), "doc_id")
+    cat.create_corpus("docs", big, "all documents")
+    cat.put_files("docs", entries(d, path, F.col("text")), big)
+    cat.create_corpus("notes", big)
+    cat.put_files("notes", entries(_t(spark, sf, "benchmark"), F.concat(F.lit("b"), "item_id"), F.col("text")), big)
+    cat.put_files("docs", entries(d.filter("doc_id % 10 = 0"), path, F.concat(F.lit("replaced licensed "), "doc_id")), big)
+    cat.remove_file("docs", "/d/1")
+    cat.rename_file("docs", "/d/2", "renamed", "a name")
+    cat.update_corpus("notes", "items", "benchmark texts")
+    cat.create_corpus("nations", small)
+    cat.put_files("nations", entries(_t(spark, sf, "nation"), F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("the nation "), "n_name")), small)
+    cat.create_corpus("empty", big)
+    cat.create_corpus("gone", big)
+    cat.put_files("gone", entries(_t(spark, sf, "region"), F.col("r_name"), F.lit("the licensed text that goes")), big)
+    cat.delete_corpus("gone")
+    _ENGINES[key] = engine
+    return engine
+
+
+#: Entries (batch, corpus, path, text) as that catalog holds them, and their chunks in order of their ids.
+_ENTRIES = """ents AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 0 END AS batch, 'docs' AS corpus, '/d/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'replaced licensed ' || doc_id ELSE text END AS text FROM documents WHERE doc_id <> 1
+UNION ALL SELECT 1, 'items', 'b' || item_id, text FROM benchmark UNION ALL SELECT 3, 'nations', 'n' || n_nationkey, 'the nation ' || n_name FROM nation),
+cur AS (SELECT row_number() OVER (ORDER BY batch, path) AS doc_id, * FROM ents), """
+_CHUNKS = chunk_sql(BUDGET, OVERLAP, _ENTRIES, "cur") + """, named AS (SELECT c.*, batch, corpus, path AS old, CASE WHEN path = '/d/2' THEN 'renamed' ELSE path END AS path FROM chunks c JOIN cur USING (doc_id)),
+ck AS (SELECT row_number() OVER (ORDER BY doc_id, position) AS doc_id, corpus AS source, path, position, start_offset, end_offset, text FROM named)"""
+
+
+@query(_CHUNKS + """, n AS (SELECT source, count(DISTINCT path) AS files, count(*) AS chunks FROM ck GROUP BY source),
+known(name, description, model, dimensions) AS (VALUES ('docs', 'all documents', 'native', 512), ('items', 'benchmark texts', 'native', 512), ('nations', NULL, 'hf:registry/small', 64), ('empty', NULL, 'native', 512))
+SELECT known.*, coalesce(files, 0)::BIGINT AS file_count, coalesce(chunks, 0)::BIGINT AS chunk_count FROM known LEFT JOIN n ON n.source = name""")
+def catalog_corpora(spark, sf):
+    return _engine(spark, sf).catalog.corpora().select("name", "description", "model", "dimensions", "file_count", "chunk_count")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'native', 'native', 512, 3::BIGINT), (2, 'hf', 'registry/small', 64, 1)) m(id, source, identifier, dimensions, corpora)")
+def catalog_models(spark, sf):
+    return _engine(spark, sf).catalog.models()
+
+
+@query(_CHUNKS + " SELECT path, CASE WHEN path = 'renamed' THEN 'a name' END AS description, count(*)::INTEGER AS chunk_count FROM ck WHERE source = 'docs' GROUP BY path")
+def catalog_files(spark, sf):
+    return _engine(spark, sf).catalog.files("docs").select("path", "description", "chunk_count")
+
+
+@query(_CHUNKS + " SELECT source AS corpus, path, position, start_offset, end_offset, text FROM ck")
+def catalog_chunks(spark, sf):
+    cat = _engine(spark, sf).catalog
+    files = cat.table("files").select(F.col("id").alias("file_id"), "path")
+    names = cat.table("corpora").select(F.col("id").alias("corpus_id"), F.col("name").alias("corpus"))
+    return cat.table("chunks").join(files, "file_id").join(names, "corpus_id").select("corpus", "path", "position", "start_offset", "end_offset", "text")
+
+
+@query(_CHUNKS + " SELECT source AS corpus, CASE WHEN source = 'nations' THEN 64 ELSE 512 END AS dimensions, count(*) AS vectors FROM ck GROUP BY source")
+def catalog_vectors(spark, sf):
+    cat = _engine(spark, sf).catalog
+    names = cat.table("corpora").select(F.col("id").alias("corpus_id"), F.col("name").alias("corpus"))
+    return cat.table("embeddings").join(names, "corpus_id").groupBy("corpus", F.size("embedding").alias("dimensions")).agg(F.count("*").alias("vectors"))
+
+
+@query(_CHUNKS + r""", tk AS (SELECT source, doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM ck)
+SELECT source AS corpus, term, count(*) AS n, count(DISTINCT doc_id) AS chunks FROM tk GROUP BY source, term""")
+def catalog_postings(spark, sf):
+    cat = _engine(spark, sf).catalog
+    names = cat.table("corpora").select(F.col("id").alias("corpus_id"), F.col("name").alias("corpus"))
+    return cat.table("postings").join(names, "corpus_id").groupBy("corpus", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("chunks"))
+
+
+def _found(engine: Engine, *args) -> DataFrame:
+    _, df = engine.found(*args)
+    return df.select("corpus", "path", "position", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+def _top_sql(k: int, window: str = "", where: str = "") -> str:
+    return _CHUNKS + f""", {bm25_sql(WORDS, table="ck")},
+got AS (SELECT ck.source AS corpus, ck.path, ck.position, round(bm.score::FLOAT::DOUBLE, 4) AS score, row_number() OVER ({window} ORDER BY bm.score DESC, id) AS r FROM bm JOIN ck ON ck.doc_id = bm.id {where})
+SELECT corpus, path, position, score FROM got WHERE r <= {k}"""
+
+
+@query(_top_sql(10, where="WHERE ck.source = 'docs'"))
+def engine_lexical(spark, sf):
+    return _found(_engine(spark, sf), WORDS, "docs", 10, "lexical")
+
+
+@query(_top_sql(4, "PARTITION BY ck.source"))
+def engine_lexical_grouped(spark, sf):
+    """All corpora, of several models: results of each by itself, in one plan."""
+    return _found(_engine(spark, sf), WORDS, "all", 4, "lexical")
+
+
+@query()
+def engine_hybrid(spark, sf):
+    return _found(_engine(spark, sf), WORDS, "docs", 10, "hybrid")
+
+
+@query()
+def engine_dense_grouped(spark, sf):
+    return _found(_engine(spark, sf), WORDS, "all", 4, "dense")
+
+
+@query(_CHUNKS + """, n AS (SELECT source, count(DISTINCT path) AS files, count(*) AS chunks FROM ck GROUP BY source),
+known(name, description) AS (VALUES ('docs', 'all documents'), ('items', 'benchmark texts'), ('nations', NULL), ('empty', NULL))
+SELECT '• ' || name || ': ' || coalesce(description, '(no description)') || ' [' || coalesce(files, 0) || ' files, ' || coalesce(chunks, 0) || ' chunks]' AS line FROM known LEFT JOIN n ON n.source = name""")
+def server_list_corpora(spark, sf):
+    text = Server(_engine(spark, sf)).handle('{"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "list_corpora"}}')["result"]["content"][0]["text"]
+    return spark.createDataFrame([(x,) for x in text.split("\n")], "line string")
+
+
+@query(_CHUNKS + " SELECT path, count(*) AS chunks FROM ck WHERE source = 'items' GROUP BY path")
+def cli_index_list(spark, sf):
+    engine = _engine(spark, sf)
+    text = cli.run(cli.parser().parse_args(["index", "list", "--corpus", "items", "--format", "json"]), engine)
+    return spark.createDataFrame([(text,)], "t string").select(F.inline(F.from_json("t", "array<struct<path: string, chunks: bigint>>")))
+
+
+@query("SELECT item_id, replace('owner/' || item_id, '/', '--') AS name FROM benchmark")
+def model_dir_name(spark, sf):
+    return _t(spark, sf, "benchmark").select("item_id", text.model_dir_name(F.concat(F.lit("owner/"), "item_id")).alias("name"))

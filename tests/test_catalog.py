@@ -8,7 +8,7 @@ import pytest
 
 from lodestone import cli
 from lodestone.embed import HashingEmbedder
-from lodestone.errors import CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
+from lodestone.errors import ConcurrentChange, CorpusAlreadyExists, CorpusNotFound, DimensionMismatch, EngineError, FileNotIndexed
 from lodestone.plans import ingest
 from lodestone.plans.catalog import resolve_root
 from lodestone.streaming.watch import watch
@@ -131,6 +131,7 @@ def test_command_line(engine, tmp_path):
     assert run("corpus", "list") == "No corpora." and run("corpus", "list", "--format", "json") == "[]"
     run("corpus", "create", "c", "--description", "d")
     assert run("index", "add", str(tmp_path / "a.txt"), "--corpus", "c") == "Indexed 1 chunks."
+    assert run("corpus", "list") == "• c — d [1 files, 1 chunks]"
     assert json.loads(run("corpus", "info", "c", "--format", "json")) == {"name": "c", "description": "d", "model": "native", "dimensions": 512, "fileCount": 1, "chunkCount": 1}
     assert "(corpus: c, score: 1.000)" in run("search", "the cat sat", "--corpus", "c")
     assert json.loads(run("search", "cat", "--corpus", "all", "--mode", "hybrid", "--format", "json"))[0]["text"] == "the cat sat"
@@ -144,3 +145,79 @@ def test_every_failed_file_is_reported(engine, corpus, tmp_path):
         (tmp_path / f"f{i:04}.pdf").write_bytes(b"no pdf")
     n, warnings = ingest.add(engine.catalog, corpus, str(tmp_path), per_file=True)
     assert n == 0 and sum(".pdf: " in w for w in warnings) == 1003
+
+
+def test_one_of_two_changes_at_once_is_refused(engine, corpus):
+    cat = engine.catalog
+    stale = cat._state()
+    cat.update_corpus(corpus, description="first")
+    with pytest.raises(ConcurrentChange):
+        cat._commit(stale, {"corpora": cat.table("corpora").limit(0)})
+    assert [r["description"] for r in cat.corpora().collect()] == ["first"]
+    for k in range(25):
+        cat._publish(cat._state())
+    assert len(cat._versions()) == 20 and cat.corpus(corpus)["description"] == "first"
+
+
+def test_index_in_the_catalog(engine, corpus, spark):
+    """Postings give the scores of the texts, also after changes and compaction; vectors lie by corpus."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import bm25
+
+    cat = engine.catalog
+    cat.create_corpus("other", HashingEmbedder())
+    kind = "path string, source_path string, description string, mtime double, size long, text string"
+    entry = lambda *rows: spark.createDataFrame([(p, p, None, 1.0, len(t), t) for p, t in rows], kind)
+    cat.put_files(corpus, entry(("a", "the cat sat " * 400), ("b", "a dog and the cat"), ("c", "gone dog cat")), HashingEmbedder())
+    cat.put_files("other", entry(("a", "cat, cat and dog"), ("d", "Čarobnjak !")), HashingEmbedder())
+    cat.put_files(corpus, entry(("b", "the dog barks")), HashingEmbedder())
+    cat.remove_file(corpus, "c")
+    for compacted in (False, True):
+        if compacted:
+            cat.compact()
+        texts = cat.table("chunks").select(F.col("id").alias("chunk_id"), "text")
+        want = {r["chunk_id"]: r["score"] for r in bm25.scores(texts, "cat dog the carobnjak").collect()}
+        got = {r["chunk_id"]: r["score"] for r in bm25.index_scores(cat.table("postings"), cat.index_size(), "cat dog the carobnjak").collect()}
+        assert got == pytest.approx(want) and len(got) > 4
+        own = cat.corpus("other")["id"]
+        assert all(f"/corpus={own}/" in f for f in cat.table("embeddings", own).inputFiles() if "/embeddings/" in f)
+        assert {r["corpus_id"] for r in cat.table("embeddings", own).collect()} == {own} and cat.table("embeddings", own).count() == 2
+        assert [r["file"] for r in engine.search("cat", "other", 3, "lexical")] == ["a"]
+
+
+def test_refresh_of_many_entries_is_one_commit(engine, corpus, tmp_path):
+    d = tmp_path / "many"
+    (d / "sub").mkdir(parents=True)
+    for i in range(12):
+        (d / ("sub" if i % 2 else ".") / f"f{i}.txt").write_text(f"text {i}")
+    ingest.add(engine.catalog, corpus, str(d), per_file=True)
+    ingest.add(engine.catalog, corpus, str(d / "sub"), "folder")
+    for i in (0, 1, 2):
+        f = d / ("sub" if i % 2 else ".") / f"f{i}.txt"
+        f.write_text(f"new {i}")
+        os.utime(f, (4e9, 4e9))
+    (d / "f4.txt").unlink()
+    os.utime(d / "sub", (4e9, 4e9))
+    version = engine.catalog._state()["version"]
+    assert ingest.refresh(engine.catalog, corpus) == {"updated": 4, "removed": 1, "failed": 0}
+    assert engine.catalog._state()["version"] == version + 1
+    texts = {r["text"] for r in engine.catalog.table("chunks").collect()}
+    assert {"new 0", "new 1", "new 2"} <= texts and "text 4" not in texts and any(t.startswith("new 1\n\n") or "\n\nnew 1" in t for t in texts)
+    assert ingest.refresh(engine.catalog, corpus) == {"updated": 0, "removed": 0, "failed": 0}
+
+
+def test_grouped_search_over_models(engine, corpus, spark, monkeypatch):
+    from lodestone import embed
+
+    class Small(HashingEmbedder):
+        source, identifier, dimensions = "hf", "x/small", 32
+
+    monkeypatch.setitem(embed._REGISTRY, "hf", lambda identifier: Small())
+    kind = "path string, source_path string, description string, mtime double, size long, text string"
+    engine.catalog.create_corpus("small", Small())
+    engine.catalog.put_files(corpus, spark.createDataFrame([("a", "a", None, 1.0, 1, "the cat sat"), ("b", "b", None, 1.0, 1, "a dog")], kind), HashingEmbedder())
+    engine.catalog.put_files("small", spark.createDataFrame([("c", "c", None, 1.0, 1, "the cat ran"), ("d", "d", None, 1.0, 1, "no match")], kind), Small())
+    for mode in ("dense", "lexical", "hybrid"):
+        got = engine.search("the cat", "all", 1, mode)
+        assert [(name, [r["file"] for r in rows]) for name, rows in got] == [("notes", ["a"]), ("small", ["c"])], mode
