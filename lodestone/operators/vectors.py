@@ -40,30 +40,77 @@ def knn(vectors: DataFrame, query: list[float], k: int, scope: Column | None = N
     return near.withColumn("score", score(F.col("distance")))
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 256) -> DataFrame:
-    """The k nearest vectors of every query, exactly: query_id, vec_id, distance, score.
+def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows (id, vector) packed into blocks of so many: ids and values as bytes."""
 
-    Queries go in blocks; each block's matrix meets each Arrow batch of vectors in one product, and each
-    batch hands on k rows a query.  A query set is stated by the caller and bounded by it.
+    def run(batches):
+        ids, values, n = [], [], 0
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([np.concatenate(ids).tobytes()]), pa.array([np.concatenate(values).tobytes()])], names=[f"{name}_ids", f"{name}_values"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
+                ids.append(part.column(0).to_numpy())
+                values.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                n += part.num_rows
+                if n >= size:
+                    yield block()
+                    ids, values, n = [], [], 0
+        if n:
+            yield block()
+
+    return rows.mapInArrow(run, f"{name}_ids binary, {name}_values binary")
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int):
+    """Per query its k nearest rows of v: a product finds who can be among them, and their distances are then
+    taken exactly, ties in order of the id."""
+    near = (v * v).sum(1)[None, :] - 2 * (q @ v.T)
+    if k < len(v):
+        last = np.partition(near, k - 1, axis=1)[:, k - 1]
+        near = near <= (last + 1e-9 * (1 + np.abs(last)))[:, None]
+    else:
+        near = np.ones(near.shape, bool)
+    for x, some in zip(q, near):
+        some = np.flatnonzero(some)
+        d = np.sqrt(((v[some] - x) ** 2).sum(1))
+        best = np.lexsort((ids[some], d))[:k]
+        yield ids[some[best]], d[best]
+
+
+#: Bytes of packed queries that may be broadcast; beyond it, blocks of both sides are paired by Spark.
+BROADCAST_BYTES = 64 << 20
+
+
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", query: str = "query", vec_id: str = "vec_id", embedding: str = "embedding", block: int = 1024) -> DataFrame:
+    """The k nearest vectors of every query, exactly: query_id, vec_id, rank, distance, score.
+
+    A stated query set against all vectors, in blocks: each block of queries meets each block of vectors in
+    one product, and a task hands on the k best it has seen of each query.  Queries never come to the driver.
     """
-    rows = queries.select(query_id, query).orderBy(query_id).collect()
-    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    q = _blocks(queries.select(F.col(query_id).cast("long"), query), "q", block)
+    v = _blocks(vectors.select(F.col(vec_id).cast("long"), embedding), "v", 4 * block)
+    small = (q.agg(F.sum(F.octet_length("q_values"))).first()[0] or 0) <= BROADCAST_BYTES
+    pairs = v.crossJoin(F.broadcast(q) if small else q)
 
     def run(batches):
+        kept: dict[bytes, list] = {}
         for batch in batches:
-            n = batch.num_rows
-            if not n or not len(ids):
-                continue
-            own = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            for a in range(0, len(ids), block):
-                q = matrix[a:a + block]
-                d = np.sqrt(np.maximum(0, ((q[:, None, :] - v[None, :, :]) ** 2).sum(2))) if n * len(q) * v.shape[1] < 5_000_000 else np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q])
-                for i in range(len(q)):
-                    best = np.lexsort((own, d[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[a + i]] * len(best), pa.int64()), pa.array(own[best], pa.int64()), pa.array(d[i][best])], names=["query_id", "vec_id", "distance"])
-
-    best = vectors.select(F.col(vec_id).cast("long"), F.col(embedding)).mapInArrow(run, "query_id long, vec_id long, distance double")
+            for q_ids, q_values, v_ids, v_values in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_values", "v_ids", "v_values"))):
+                own, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(v_ids, np.int64)
+                found = _nearest(np.frombuffer(q_values).reshape(len(own), -1), np.frombuffer(v_values).reshape(len(ids), -1), ids, k)
+                before = kept.get(q_ids)
+                if before:
+                    found = [(np.concatenate(x), np.concatenate(y)) for x, y in (zip(a, b) for a, b in zip(before, found))]
+                    found = [(x[o], y[o]) for x, y in found for o in (np.lexsort((x, y))[:k],)]
+                kept[q_ids] = list(found)
+        for q_ids, found in kept.items():
+            n = [len(x) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(q_ids, np.int64), n)), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([y for _, y in found]))], names=["query_id", "vec_id", "distance"])
+
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
 
