@@ -23,7 +23,8 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = winnow.compared_with_next(table(spark, sf_dir, "documents"))
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnow.as_string(F.col("sel")).alias("fingerprint"),
-        winnow.as_string(F.col("edited_sel")).alias("edited_fingerprint"), "near_edited", "near_next")
+        winnow.as_string(F.col("edited_sel")).alias("edited_fingerprint"), "near_edited", "near_next",
+        winnow.positions(F.col("sel")).alias("positions"), winnow.positions(F.col("edited_sel")).alias("edited_positions"))
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

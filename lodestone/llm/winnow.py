@@ -1,7 +1,8 @@
 """Winnowing fingerprints of whole documents, in DataFrame expressions only.
 
-Every k-gram of code points is hashed; in every window of w successive grams the smallest hash is
-selected, the rightmost of equal ones, and its position is kept.  Two texts that share a passage of
+Hashes of k-grams of code points roll along the text: pieces of a third of a gram are hashed once at each
+place, and a gram's hash is a sum of products of three of them, which its neighbours use as well, so no gram
+is read again as a whole.  In every window of w successive grams the smallest hash is selected, the rightmost of equal ones, and its position is kept.  Two texts that share a passage of
 k + w - 1 code points share a selected hash, at the same place of the passage; shorter than k they
 share nothing unless whole.  A text with fewer than k code points is one gram, an empty one has none.
 """
@@ -18,7 +19,11 @@ K, W = 12, 32
 #: Windows handled at a time; only what they select is kept, so a very long text needs little more memory.
 _BLOCK = 2048
 _PLACES = (1 << 31) - 1
+#: Factors of a gram's first, middle and last piece, odd and under 2**31; pieces have 30 bits, so sums stay
+#: under 2**63.  A gram's hash is bits 29 to 60 of the sum.
+FACTORS = (1_500_450_271, 2_038_074_743, 1_882_341_361)
 #: Ranges of doc_id that documents are dealt into at the most: a bound of what the driver and plans hold.
+#: Beyond it, ranges hold more rows; windows over them spill and give the same rows.
 MOST_BUCKETS = 1 << 16
 
 
@@ -45,24 +50,33 @@ def selected(text: Column, k: int = K, w: int = W) -> Column:
 
     One number holds both, so the smallest is the smallest hash and, among equal ones, the rightmost.
     """
-    # four bytes for each code point, so a gram is a slice of known place
+    # four bytes for each code point, so a piece is a slice of known place
     n_chars = F.length(text)
     n_grams = F.greatest(n_chars - (k - 1), F.least(n_chars, F.lit(1)))
     bound = F.struct(F.encode(text, "UTF-32").alias("units"), n_grams.alias("n_grams"))
+    q = -(-k // 3)
 
     def whole(x: Column) -> Column:
         n_grams = x["n_grams"]
         n_windows = F.greatest(n_grams - (w - 1), F.least(n_grams, F.lit(1)))
 
-        def gram(i: Column) -> Column:
-            h = F.xxhash64(F.substring(x["units"], i * 4 + 1, F.lit(4 * k))).bitwiseAND(0xFFFFFFFF)
-            return F.shiftleft(h, 31).bitwiseOR(F.lit(_PLACES) - i)
+        def piece(i: Column) -> Column:
+            return F.xxhash64(F.substring(x["units"], i * 4 + 1, F.lit(4 * q))).bitwiseAND((1 << 30) - 1)
 
         def block(b: Column) -> Column:
             first = b * _BLOCK
             n = F.least(F.lit(_BLOCK), n_windows - first)
-            grams = F.transform(F.sequence(first, F.least(first + n + (w - 1), n_grams) - 1), gram)
-            return F.array_distinct(_window_minima(grams, n, w))
+            last = F.least(first + n + (w - 1), n_grams) - 1
+
+            def grams(p: Column) -> Column:
+                def gram(i: Column) -> Column:
+                    at = i - first
+                    total = F.get(p, at) * FACTORS[0] + F.get(p, at + min(q, k - q)) * FACTORS[1] + F.get(p, at + (k - q)) * FACTORS[2]
+                    return F.shiftleft(F.shiftright(total, 29).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(F.lit(_PLACES) - i)
+
+                return F.transform(F.sequence(first, last), gram)
+
+            return F.array_distinct(_window_minima(_let(F.transform(F.sequence(first, last + (k - q)), piece), grams), n, w))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n_windows - 1) / _BLOCK).cast("int")), block))
 

@@ -2,20 +2,28 @@
 
 import hashlib
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import winnow
 
 
-def brute(spark, text, k=winnow.K, w=winnow.W):
-    """Positions selected, given the hash of each gram by Spark's own function."""
+def gram_hash(text, i, k):
+    """The hash of the gram at i: three pieces, the last one ending with the gram."""
+    q = -(-k // 3)
+    piece = lambda a: xxhash.xxh64(text[a:a + q].encode("utf-32-be"), seed=42).intdigest() & ((1 << 30) - 1)
+    total = sum(piece(i + at) * f for at, f in zip((0, min(q, k - q), k - q), winnow.FACTORS))
+    assert total < 1 << 63
+    return total >> 29 & 0xFFFFFFFF
+
+
+def brute(text, k=winnow.K, w=winnow.W):
+    """(position, hash) of the selected grams by the definition."""
     n = max(len(text) - k + 1, 1) if text else 0
-    if not n:
-        return []
-    grams = spark.createDataFrame([(i, bytearray(text[i:i + k].encode("utf-32-be"))) for i in range(n)], "i int, g binary")
-    h = [r["h"] for r in grams.select("i", F.xxhash64("g").bitwiseAND(0xFFFFFFFF).alias("h")).orderBy("i").collect()]
+    h = [gram_hash(text, i, k) for i in range(n)]
     picked = set()
-    for a in range(max(n - w + 1, 1)):
+    for a in range(max(n - w + 1, min(n, 1))):
         window = h[a:a + w]
         low = min(window)
         picked.add(a + max(i for i, x in enumerate(window) if x == low))
@@ -31,7 +39,10 @@ def test_selection_equals_definition(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = rows_of(winnow.fingerprints(df))
     for i, t in enumerate(texts):
-        assert list(zip(got[i]["positions"], got[i]["hashes"])) == brute(spark, t), t[:20]
+        assert list(zip(got[i]["positions"], got[i]["hashes"])) == brute(t), t[:20]
+    for k, w in ((5, 4), (1, 3), (13, 1)):
+        got = rows_of(winnow.fingerprints(df, k, w))
+        assert all(list(zip(got[i]["positions"], got[i]["hashes"])) == brute(t, k, w) for i, t in enumerate(texts))
 
 
 def test_edited_fingerprint_equals_that_of_the_edited_text(spark, odd_documents, documents):
@@ -61,3 +72,25 @@ def test_a_shared_passage_shares_a_hash(spark):
     df = spark.createDataFrame([(1, "some text before " * 4 + passage + " and 1 after" * 5), (2, "unrelated " * 9 + passage + "?" * 30)], "doc_id long, text string")
     a, b = (set(r["hashes"]) for r in winnow.fingerprints(df).collect())
     assert a & b
+
+
+def test_query_equals_definition(spark, documents):
+    from lodestone.llm import queries
+
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in documents.collect()))
+    got = rows_of(queries.op1_winnowing(spark, "/root/testdata/sf0.001"))
+    assert len(got) == len(rows)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i in [*range(0, len(rows), 9), len(rows) - 1]:
+        (d, t), (_, following) = rows[i], rows[(i + 1) % len(rows)]
+        if len(t) > 4000:
+            continue
+        q = len(t) // 4
+        edited = t[:len(t) - q] + following[:q]
+        own, other, after = brute(t), brute(edited), brute(following)
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == "".join(f"{h:08x}" for _, h in own) and r["positions"] == [p for p, _ in own]
+        assert r["edited_fingerprint"] == "".join(f"{h:08x}" for _, h in other) and r["edited_positions"] == [p for p, _ in other]
+        sets = [{h for _, h in x} for x in (own, other, after)]
+        assert r["near_edited"] == pytest.approx(alike(sets[0], sets[1])) and r["near_next"] == pytest.approx(alike(sets[0], sets[2]))
