@@ -5,10 +5,13 @@ equal ones, which depends on the string alone.  So two places of one string have
 and it is enough to compare what stands around anchors of one gram:
 
 1. Grams that are an anchor at one place only are dropped.  Anchors whose whole surroundings (all strings
-   that hold the gram) have the hash of another anchor's are repeated in full.
+   that hold the gram) have the hash of another anchor's are repeated in full; in each batch one of them
+   stands for the others.
 2. For the others, the bytes to the right and, reversed, those to the left are sorted with deep-shallow
    sorting.  A string that starts i bytes before the gram is repeated if another anchor agrees in i bytes
-   to the left and in the rest to the right: both are intervals of the sorted orders.
+   to the left and in the rest to the right: both are intervals of the sorted orders.  A gram of very many
+   anchors is split by the bytes next to it: for a range lo to hi of i, only anchors that agree in lo bytes
+   to the left and length - hi to the right can share a string, so these bytes divide the gram's group.
 
 Equal texts are one text with a count.  Matches never cross documents.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +32,9 @@ from .tokens import slices
 
 LENGTH, GRAM = 200, 32
 #: Anchors in a fragment of step 1, surroundings compared by a task in step 2, and bytes scanned at a time.
-FRAGMENT, GROUP, SCAN_BYTES = 1_500_000, 20_000, 1_500_000
-#: Anchors of one gram beyond which its strings are hashed and counted as rows instead of sorted in a task.
-HOT = 100_000
+FRAGMENT, GROUP, SCAN_BYTES = 1_500_000, 20_000, 6_000_000
+#: Anchors beyond which a group is split by the bytes next to its gram, and ranges that it is split into.
+HOT, RANGES = 20_000, 8
 _PLACE = (1 << 24) - 1
 _PIECE = 1 << 22
 
@@ -75,10 +79,13 @@ def _surroundings(at: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
 
 
 def _scan(texts: DataFrame, n_fragments: int, length: int, gram: int) -> DataFrame:
-    """Rows (frag, payload) with the anchors of one batch: text keys, counts, places, gram and context hashes."""
+    """Rows (frag, payload) with the anchors of one batch: text keys, counts, places, gram and context hashes.
+    Of anchors with the same hashes in a batch one is sent, marked as one of several; the others go as rows of
+    the batch's task (frag < 0)."""
 
     def run(batches):
         seen: set[int] = set()
+        own = -1 - TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "t", SCAN_BYTES):
                 key = part.column("key").to_numpy()
@@ -92,20 +99,35 @@ def _scan(texts: DataFrame, n_fragments: int, length: int, gram: int) -> DataFra
                 sums = running(data)
                 around = mix(substring_hashes(sums, lo, hi) + mix(((at - lo) * 1024 + hi - at).astype(np.uint64)))
                 place = at - bounds[doc]
-                frag = (h % np.uint64(n_fragments)).astype(np.int64)
+                order = np.lexsort((around, h))
+                new = np.ones(len(h), bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (around[order][1:] != around[order][:-1])
+                first = np.empty(len(h), bool)
+                first[order] = new
+                several = np.empty(len(h), bool)
+                several[order] = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1] > 1
+                frag = np.where(first, (h % np.uint64(n_fragments)).astype(np.int64), -1)
                 order = np.argsort(frag, kind="stable")
-                ends = np.searchsorted(frag[order], np.arange(n_fragments + 1))
-                rows = []
-                for f in range(n_fragments):
+                ends = np.searchsorted(frag[order], np.arange(-1, n_fragments + 1))
+                frags, rows = [], []
+                for f in np.flatnonzero(np.diff(ends)).tolist():
                     o = order[ends[f]:ends[f + 1]]
                     counts = np.bincount(doc[o], minlength=len(key))
                     used = np.flatnonzero(counts)
-                    rows.append(np.array([len(used), len(o)], np.int64).tobytes() + key[used].tobytes() + counts[used].tobytes() + place[o].tobytes() + h[o].tobytes() + around[o].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(range(n_fragments), pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
+                    frags.append(f - 1 if f else own)
+                    rows.append(np.array([len(used), len(o)], np.int64).tobytes() + key[used].tobytes() + counts[used].tobytes() + (place[o] * 2 + several[o]).tobytes() + (h[o].tobytes() + around[o].tobytes() if f else b""))
+                yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
 
     return texts.mapInArrow(task(run), "frag int, payload binary")
 
 
+def _by_text(text: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((place, text))
+    text, packed = text[order], (place * 4 + kind)[order]
+    cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, int)
+    return pd.DataFrame({"key": text[cut], "places": [x.tobytes() for x in np.split(packed, cut[1:])] if len(cut) else []})
+
+
 def _repeated(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Per text the places of anchors whose surroundings are repeated (full), and of those to compare."""
     parts = []
@@ -114,29 +136,27 @@ def _repeated(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         body = np.frombuffer(p, np.int64, -1, 16)
         parts.append((np.repeat(body[:k], body[k:2 * k]), body[2 * k:2 * k + n], body[2 * k + n:2 * k + 2 * n].view(np.uint64), body[2 * k + 2 * n:].view(np.uint64)))
     text, place, h, around = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((place, text, around, h))
-    text, place, h, around = text[order], place[order], h[order], around[order]
+    if key[0] < 0:  # others of the batch stand for them
+        return _by_text(text, place >> 1, np.ones(len(text), np.int64))
+    several, place = place & 1, place >> 1
+    order = np.lexsort((1 - several, place, text, around, h))
+    text, place, h, around, several = text[order], place[order], h[order], around[order], several[order]
     new = np.ones(len(h), bool)  # one anchor of each text and place
     new[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
-    text, place, h, around = text[new], place[new], h[new], around[new]
-    h_start = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+    text, place, h, around, several = text[new], place[new], h[new], around[new], several[new]
+    h_start = np.ones(len(h), bool)
+    h_start[1:] = h[1:] != h[:-1]
     c_start = h_start.copy()
     c_start[1:] |= around[1:] != around[:-1]
     h_of, c_of = np.cumsum(h_start) - 1, np.cumsum(c_start) - 1
-    c_size = np.bincount(c_of)[c_of] if len(h) else c_of
-    contexts = np.bincount(h_of, c_start)[h_of] if len(h) else h_of
-    full = c_size > 1
+    full = (np.bincount(c_of) + np.bincount(c_of, several))[c_of] > 1
+    contexts = np.bincount(h_of, c_start)[h_of]
     compare = c_start & (contexts > 1)  # one anchor of each context, where a gram has two or more
-    single = compare & ~full
     # a gram whose contexts are all repeated in full has nothing to find out
-    open_ = np.bincount(h_of, single)[h_of] > 0 if len(h) else single
+    open_ = np.bincount(h_of, compare & ~full)[h_of] > 0
     kind = np.where(full, 1, 0) + np.where(compare & open_, 2, 0)
     use = kind > 0
-    order = np.lexsort((place[use], text[use]))
-    text, place, kind = text[use][order], place[use][order], kind[use][order]
-    cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, int)
-    packed = place * 4 + kind
-    return pd.DataFrame({"key": text[cut], "places": [x.tobytes() for x in np.split(packed, cut[1:])] if len(cut) else []})
+    return _by_text(text[use], place[use], kind[use])
 
 
 def _contexts(marked: DataFrame, length: int, gram: int) -> DataFrame:
@@ -167,19 +187,24 @@ def _table(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(length: int, gram: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Per single anchor the union (a, b) of the repeated strings that hold its gram."""
+        """Per single anchor the union (a, b) of the repeated strings that hold its gram and start lo to hi
+        bytes before it."""
         empty = pd.DataFrame({"key": np.zeros(0, np.int64), "a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        h, single = pdf["h"].to_numpy(), pdf["single"].to_numpy()
-        _, group = np.unique(h, return_inverse=True)
+        single, lo, hi = pdf["single"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
         side = length - gram
         right, r_len = _table(list(pdf["right"]), -(-length // 8) * 8)
         left, l_len = _table(list(pdf["left"]), -(-side // 8) * 8)
-        r_order, r_common = deep_shallow(right, r_len, group, skip=gram // 8 * 8)
+        skip = gram // 8 * 8
+        parts = np.column_stack([pdf["part"].to_numpy(), lo, np.ascontiguousarray(right[:, :skip]).view(np.int64)])
+        order = np.lexsort(parts.T)  # groups by the bytes of the gram, not by its hash
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate([[False], (parts[order][1:] != parts[order][:-1]).any(1)]))
+        r_order, r_common = deep_shallow(right, r_len, group, skip=skip)
         l_order, l_common = deep_shallow(left, l_len, group)
-        n = len(h)
+        n = len(group)
         most, least = np.full(n, -1), np.full(n, length + 1)
         r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
-        for i in range(side + 1):
+        for i in range(int(lo.min()), int(hi.max()) + 1):
             r_class[r_order] = np.cumsum(r_common < length - i)
             l_class[l_order] = np.cumsum(l_common < i)
             both = r_class * (n + 1) + l_class
@@ -189,6 +214,7 @@ def _compare(length: int, gram: int):
             hit = np.zeros(n, bool)
             hit[order[1:][same]] = True
             hit[order[:-1][same]] = True
+            hit &= (lo <= i) & (i <= hi)
             most[hit] = i
             least[hit & (least > length)] = i
         use = single & (most >= 0)
@@ -200,46 +226,53 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _counted_strings(hot: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for grams of very many anchors, without a task that holds them all: each string around
-    an anchor is a row under its hash; its first and last places are found before and after the shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                left, right = batch.column("left")[i].as_py()[::-1], batch.column("right")[i].as_py()
-                data = np.frombuffer(left + right, np.uint8)
-                if len(data) < length:
-                    continue
-                s = mix(gram_hashes(running(data), length)).view(np.int64)
-                k = len(s)
-                start = batch.column("place")[i].as_py() - len(left) + np.arange(k)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(k, batch.column("key")[i].as_py())), pa.array(start), pa.array(np.full(k, batch.column("single")[i].as_py()))], names=["s", "key", "a", "single"])
-
-    rows = hot.mapInArrow(task(run), "s long, key long, a long, single boolean")
-    place = F.struct("key", "a")  # near anchors show one string twice: it takes two places
-    often = rows.groupBy("s").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("s")
-    return rows.filter("single").join(often, "s").select("key", "a", (F.col("a") + length).alias("b"))
+def _equal(rows: DataFrame, length: int) -> DataFrame:
+    """The same where only one string of each anchor is left to look at, for groups of any size: the string's
+    bytes are the key, and its first and last places are found in every task before the shuffle."""
+    place = F.struct("key", F.col("place").alias("at"))
+    rows = rows.select("key", "place", "lo", "single", F.expr("substring(left, 1, lo)").alias("l"), F.expr(f"substring(right, 1, {length} - lo)").alias("r"))
+    often = rows.groupBy("lo", "l", "r").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("lo", "l", "r")
+    return rows.filter("single").join(often, ["lo", "l", "r"]).select("key", (F.col("place") - F.col("lo")).alias("a"), (F.col("place") - F.col("lo") + length).alias("b"))
+
+
+def _spans(around: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, a, b): unions of repeated strings around single anchors."""
+    found, width = [], length - gram + 1
+    todo = around.withColumns({"lo": F.lit(0), "hi": F.lit(width - 1), "part": F.col("h")})
+    while True:
+        sizes = written(todo.groupBy("part", "lo").agg(F.count("*").alias("n")), "sizes")
+        big = sizes.filter(F.col("n") > HOT).select("part", "lo")
+        some = not big.isEmpty()
+        n_groups = max(1, -(-(sizes.filter(F.col("n") <= HOT).agg(F.sum("n")).first()[0] or 0) // GROUP))
+        rest = todo.join(big, ["part", "lo"], "left_anti") if some else todo
+        found.append(rest.groupBy(F.pmod(F.xxhash64("part", "lo"), F.lit(n_groups)).alias("g")).applyInPandas(group_task(_compare(length, gram)), "key long, a long, b long"))
+        if not some:
+            break
+        large = todo.join(big, ["part", "lo"], "left_semi")
+        if width == 1:
+            found.append(_equal(large, length))
+            break
+        width = -(-width // RANGES)
+        ranges = large.withColumn("lo", F.explode(F.sequence("lo", "hi", F.lit(width)))).withColumn("hi", F.least("hi", F.col("lo") + (width - 1)))
+        near, far = F.expr("substring(left, 1, lo)"), F.expr(f"substring(right, 1, {length} - hi)")
+        ranges = ranges.filter((F.octet_length("left") >= F.col("lo")) & (F.octet_length("right") >= length - F.col("hi")))
+        todo = written(ranges.withColumn("part", F.xxhash64("part", "lo", near, far)), "ranges")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, full, spans): for texts t under their key, packed places of anchors repeated in full, and
+    """(key, parts, spans): for texts t under their key, packed places of anchors repeated in full, and
     spans (a, b) of repeated strings around the others."""
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_fragments = max(1, -(-(2 * size // (length - gram)) // FRAGMENT))
     found = _scan(docs.select("key", "t"), n_fragments, length, gram).groupBy("frag").applyInPandas(group_task(_repeated), "key long, places binary")
     found = written(found.groupBy("key").agg(F.collect_list("places").alias("parts")), "anchors")
-    texts = docs.groupBy("key").agg(F.first("t").alias("t"))
-    around = written(_contexts(texts.join(found, "key"), length, gram), "contexts")
-    sizes = around.groupBy("h").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > HOT).select("h")
-    n_hot = hot.count()
-    n_groups = max(1, -(-around.count() // GROUP))
-    rest = around if not n_hot else around.join(hot, "h", "left_anti")
-    spans = rest.groupBy(F.pmod(F.xxhash64("h"), F.lit(n_groups)).alias("g")).applyInPandas(group_task(_compare(length, gram)), "key long, a long, b long")
-    if n_hot:
-        spans = spans.unionByName(_counted_strings(around.join(hot, "h", "left_semi"), length, gram))
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    texts = docs.join(found, "key").groupBy("key").agg(F.first("t").alias("t"), F.first("parts").alias("parts"))
+    around = written(_contexts(texts, length, gram), "contexts")
+    spans = _spans(around, length, gram).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     return written(found.join(spans, "key", "full_outer"), "spans")
 
 
@@ -249,8 +282,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_
 
     Null text: empty, nothing removed.  Texts under ``length`` bytes stay.  Repeated rows and copies of
     ``length`` bytes or more go in full, each of them.  Null and repeated ids are rows of their own.  Empty
-    table: no rows.  Other columns are not read.  Strings are found by 64-bit hashes of grams and of whole
-    surroundings; all others are compared byte by byte.
+    table: no rows.  Other columns are not read.  Equal texts and anchors with equal surroundings are found by
+    64-bit hashes; all other strings are compared byte by byte.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("key", F.xxhash64("t"))
     marks = repeated_spans(d, length, gram)
