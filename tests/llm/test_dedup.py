@@ -84,6 +84,32 @@ def test_similarity_join_over_many_fragments(spark, monkeypatch):
     assert out.filter("first").select("component_id").distinct().count() == groups
 
 
+def test_similarity_join_in_parts(spark, monkeypatch):
+    """Fragments cut by sets as well, queries of a cluster in several groups, and many turns."""
+    for name, n in (("PART", 20), ("JOIN_FRAGMENT", 300), ("FRAGMENT", 3000), ("TOGETHER", 2), ("SUMMED", 200), ("PACKED", 500), ("SEEDS", 2), ("GROWTH", 2), ("SCAN_BYTES", 20000), ("INCREMENTS", 500)):
+        monkeypatch.setattr(similarity, name, n)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got_components(similarity.near_duplicates(df)) == brute_components(rows)
+
+
+def test_links_grow_with_the_group(spark, monkeypatch):
+    """Edges into the components stay below the sets of a group of near copies."""
+    seen, inner = [], similarity.links
+    monkeypatch.setattr(similarity, "links", lambda sets, marks, *a: seen.append((marks, inner(sets, marks, *a))) or seen[-1][1])
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        t = base[:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            t[rng.randrange(150)] = f"n{rng.random()}"
+        texts.append(" ".join(t))
+    similarity.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    n = seen[0][0].count()
+    assert sum(edges.count() for _, edges in seen) < 1.2 * n
+
+
 def test_similarity_join_of_nothing(odd_documents):
     assert similarity.near_duplicates(odd_documents.limit(0)).count() == 0
 
@@ -145,6 +171,25 @@ def test_repeated_strings_of_hot_grams_and_many_fragments(spark, monkeypatch):
         assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200), names
 
 
+def test_one_gram_in_every_document(spark, monkeypatch):
+    """A hot gram whose surroundings agree in all degrees, split down to single strings."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot, near, far = "~" * 20 + text(44), text(180), text(180)
+    texts = []
+    for _ in range(60):
+        a, b = rng.randrange(0, 180), rng.randrange(0, 180)
+        texts.append(text(rng.randrange(150, 300)) + near[len(near) - a:] + hot + far[:b] + text(rng.randrange(150, 300)))
+    texts += [texts[0][40:], texts[1] + texts[2], hot, near + hot, hot + far]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute_repeats(texts, 200)
+    for most, ranges in ((1, 8), (3, 2), (20_000, 8)):
+        monkeypatch.setattr(repeats, "HOT", most)
+        monkeypatch.setattr(repeats, "RANGES", ranges)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in repeats.remove_repeats(df).collect()}
+        assert [got[i] for i in range(len(texts))] == want, (most, ranges)
+
+
 def test_repeated_strings_of_nothing(odd_documents):
     assert repeats.remove_repeats(odd_documents.limit(0)).count() == 0
 
