@@ -13,7 +13,7 @@ results per document or per pair, and the partial counts are summed.
    not yet in one component with them; summed per pair they give the exact Jaccard values and so the
    links, of which only stars between components are kept.  First queries are a few leaders of each
    cluster.  A set is open if it was no query and stands outside the component that has most such sets of
-   one of its lists; next queries are leaders of the open sets, four times as many a cluster in each turn,
+   one of its lists; next queries are leaders of the open sets, ten times as many a cluster in each turn,
    until no set is open.  Then no pair of a list is left: one of the two was a query, or both are in one
    component.
 
@@ -48,7 +48,7 @@ JOIN_FRAGMENT, PART, INCREMENTS = 1_000_000, 200_000, 500_000
 SCAN_BYTES, PACKED = 6_000_000, 1_000_000
 #: Leaders of a cluster in the first turn, and times as many in each further turn; queries of one cluster
 #: whose links are found together.
-SEEDS, GROWTH, TOGETHER = 5, 4, 16
+SEEDS, GROWTH, TOGETHER = 6, 10, 16
 #: Partial overlaps that are summed together.
 SUMMED = 2_000_000
 
