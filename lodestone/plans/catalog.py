@@ -27,7 +27,7 @@ from ..errors import ConcurrentChange, CorpusAlreadyExists, CorpusNotFound, Dime
 from ..functions import fts
 from ..operators import bm25
 from ..operators.chunk import budget, chunks as chunk_column
-from ..schemas import MODEL_SOURCES, TABLES
+from ..schemas import MODEL_SOURCES, REQUIRED, TABLES
 
 GROWING = ("chunks", "embeddings", "postings")
 #: Snapshots that stay, for readers that have just found one.
@@ -148,9 +148,10 @@ class Catalog:
         return [part.split()[0] for part in TABLES[name].split(", ")]
 
     def table(self, name: str, corpus_id: int | None = None) -> DataFrame:
-        """A table as it stands: of growing ones the rows of files that are there, of one corpus or all."""
+        """A table as it stands, without rows that lack a required column: of growing ones the rows of files that
+        are there, of one corpus or all."""
         state = self._state()
-        df = self._read(state, name, corpus_id)
+        df = self._read(state, name, corpus_id).dropna(subset=list(REQUIRED[name]))
         if name not in GROWING:
             return df
         files = self._read(state, "files").select(F.col("id").alias("file_id"))
@@ -241,6 +242,14 @@ class Catalog:
             return row
         raise FileNotIndexed(path)
 
+    def chunk(self, chunk_id: int) -> Row | None:
+        return self.table("chunks").filter(F.col("id") == chunk_id).head()
+
+    def chunk_ids(self, corpus: str, path: str) -> DataFrame:
+        """Ids of an entry's chunks in order of position."""
+        row = self.file(corpus, path)
+        return self.table("chunks", row["corpus_id"]).filter(F.col("file_id") == row["id"]).orderBy("position").select("id")
+
     # -- files -----------------------------------------------------------------------------------
     def put_files(self, corpus: str, entries: DataFrame, embedder: Embedder, gone: DataFrame | None = None) -> DataFrame:
         """Insert or replace entries (path, source_path, description, mtime, size, text); returns (path, chunk_count).

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import cli, embed, tokenizers
+from . import cli, embed, errors, tokenizers
 from .engine import Engine
 from .functions import fts, markup, text
 from .operators import bm25, chunk, fusion, search, vectors
@@ -535,6 +535,26 @@ def catalog_files(spark, sf):
     return _engine(spark, sf).catalog.files("docs").select("path", "description", "chunk_count")
 
 
+@query(_CHUNKS + " SELECT id, path, CASE WHEN path = 'renamed' THEN 'a name' END AS description FROM (SELECT DISTINCT path FROM ck WHERE path IN ('renamed', '/d/20')), (SELECT 'file' AS id)")
+def catalog_file(spark, sf):
+    """Two entries looked up by corpus and path; one that was renamed can't be found by its old path."""
+    cat = _engine(spark, sf).catalog
+    rows = [cat.file("docs", path) for path in ("renamed", "/d/20")]
+    try:
+        rows.append(cat.file("docs", "/d/2"))
+    except errors.FileNotIndexed:
+        pass
+    return spark.createDataFrame([("file", r["path"], r["description"]) for r in rows], "id string, path string, description string")
+
+
+@query(_CHUNKS + " SELECT position, text FROM ck WHERE path = '/d/3'")
+def catalog_chunks_of_file(spark, sf):
+    """Chunks of an entry by their ids."""
+    cat = _engine(spark, sf).catalog
+    ids = cat.chunk_ids("docs", "/d/3")
+    return cat.table("chunks").join(ids, "id").select("position", "text")
+
+
 @query(_CHUNKS + " SELECT source AS corpus, path, position, start_offset, end_offset, text FROM ck")
 def catalog_chunks(spark, sf):
     cat = _engine(spark, sf).catalog

@@ -13,3 +13,8 @@ POSTINGS = "corpus_id long, file_id long, chunk_id long, term string, tf int, le
 TABLES = {"models": MODELS, "corpora": CORPORA, "files": FILES, "chunks": CHUNKS, "embeddings": EMBEDDINGS, "postings": POSTINGS}
 CHUNK_STRUCT = "array<struct<text: string, position: int, start_offset: int, end_offset: int>>"
 MODEL_SOURCES = ("native", "hf", "local")
+#: Columns without which a row can't be read; such rows are left out.
+REQUIRED = {
+    "models": ("id", "source", "identifier", "dimensions"), "corpora": ("id", "name", "model_id", "created_at"), "files": ("id", "corpus_id", "path", "mtime", "size", "chunk_count", "indexed_at"),
+    "chunks": ("id", "file_id", "text", "position"), "embeddings": ("chunk_id", "embedding"), "postings": ("chunk_id", "term", "tf", "len"),
+}

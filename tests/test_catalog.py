@@ -221,3 +221,17 @@ def test_grouped_search_over_models(engine, corpus, spark, monkeypatch):
     for mode in ("dense", "lexical", "hybrid"):
         got = engine.search("the cat", "all", 1, mode)
         assert [(name, [r["file"] for r in rows]) for name, rows in got] == [("notes", ["a"]), ("small", ["c"])], mode
+
+
+def test_rows_without_a_required_column_are_left_out(engine, corpus, spark):
+    cat = engine.catalog
+    kind = "path string, source_path string, description string, mtime double, size long, text string"
+    cat.put_files(corpus, spark.createDataFrame([("a", "a", None, 1.0, 1, "one text")], kind), HashingEmbedder())
+    ids = [r["id"] for r in cat.chunk_ids(corpus, "a").collect()]
+    assert [cat.chunk(i)["text"] for i in ids] == ["one text"] and cat.chunk(99) is None
+    from pyspark.sql import functions as F
+
+    state = cat._state()
+    files = cat._read(state, "files")
+    cat._commit(state, {"files": files.unionByName(files.withColumns({"id": F.lit(77).cast("long"), "path": F.lit(None).cast("string")}))})
+    assert cat._read(cat._state(), "files").count() == 2 and cat.files(corpus).count() == 1
