@@ -118,21 +118,24 @@ def _shifted(sel: Column, by: Column) -> Column:
     return F.transform(sel, lambda x: x - by)
 
 
-def _bounds(ids: DataFrame, rows: int) -> list[int]:
-    """Ascending bounds that deal the ids into buckets of about ``rows`` rows, MOST_BUCKETS at most."""
-    n = min(ids.count() // rows, MOST_BUCKETS - 1)
-    if n < 1:
-        return []
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / (n + 1) for i in range(1, n + 1)], 20 * (n + 1))).first()[0]
-    return sorted(set(cuts or []))
+def _bounds(ids: DataFrame, rows: int) -> tuple[list[int], int]:
+    """Ascending bounds that deal the ids into buckets of about ``rows`` rows, MOST_BUCKETS at most, an id of
+    many rows several times; and the buckets that null ids need."""
+    n, known = ids.agg(F.count("*"), F.count("doc_id")).first()
+    rows = max(rows, -(-n // MOST_BUCKETS))
+    if known // rows < 1:
+        return [], (n - known) // rows
+    n_cuts = known // rows
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / (n_cuts + 1) for i in range(1, n_cuts + 1)], 20 * (n_cuts + 1))).first()[0]
+    return sorted(cuts or []), (n - known) // rows
 
 
-def _further(listed: Column, value: Column, step: int):
-    return lambda x: F.when(F.get(listed, x + (step - 1)) <= value, x + step).otherwise(x)
+def _further(listed: Column, below: Column, step: int):
+    return lambda x: F.when(F.get(listed, x + (step - 1)) < below, x + step).otherwise(x)
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are not above the value, by bisection; null: 0."""
+def _below(value: Column, bounds: list[int]) -> Column:
+    """How many of the bounds are below the value, by bisection; null: 0."""
     at = F.lit(0)
     listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
     step = 1 << max(0, len(bounds).bit_length() - 1)
@@ -142,11 +145,24 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return at
 
 
+def _bucket(value: Column, h: Column, bounds: list[int], n_null: int) -> Column:
+    """The bucket of a row in the order of (id, hash): how many bounds are not above the id; an id that is a
+    bound several times, and null ids, which come first, are dealt by ranges of the hash."""
+    share = h / F.lit(float(1 << 64)) + 0.5
+    upto = _below(value + 1, bounds)
+    if len(set(bounds)) < len(bounds):
+        low = _below(value, bounds)
+        upto = F.when(upto - low > 1, low + 1 + F.least(F.floor(share * (upto - low)).cast("int"), upto - low - 1)).otherwise(upto)
+    if n_null:
+        upto = F.when(value.isNull(), F.least(F.floor(share * (n_null + 1)).cast("int"), F.lit(n_null)) - n_null).otherwise(upto)
+    return upto
+
+
 def compared_with_next(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "doc_id", text: str = "text", rows: int = 1000) -> DataFrame:
     """Each text, its edited text (the last quarter replaced by the start of the next text) and the next
     text, by their fingerprints: doc_id, n_chars, edited (text), sel, edited_sel, near_edited, near_next.
 
-    Documents are dealt by ranges of doc_id into buckets, each followed by a copy of the first row of the
+    Documents are dealt by ranges of (doc_id, hash) into buckets, each followed by a copy of the first row of the
     next one, so "next" is a neighbour in a sorted bucket; after the last document comes the first.
     Texts are shuffled once.  Windows that a text shares with its edited text are hashed once.
     Null text: empty.  Null doc_id: first.  Rows with one id stand in order of their texts' hashes, each a
@@ -156,7 +172,7 @@ def compared_with_next(docs: DataFrame, k: int = K, w: int = W, doc_id: str = "d
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("h"))
     ids = written(docs.select("doc_id", "h"), "ids")
-    bucket = _bucket(F.col("doc_id"), _bounds(ids, rows))
+    bucket = _bucket(F.col("doc_id"), F.col("h"), *_bounds(ids, rows))
     firsts = ids.withColumn("b", bucket).groupBy("b").agg(F.min(F.struct("doc_id", "h")).alias("f")).orderBy("b").collect()
     ghosts = [(r["f"]["doc_id"], r["f"]["h"], firsts[i - 1]["b"]) for i, r in enumerate(firsts)]  # one row a bucket
     ghosts = spark.createDataFrame(ghosts or [(None, 0, 0)], "g_id long, g_h long, g_b int")

@@ -61,6 +61,21 @@ def test_edited_fingerprint_equals_that_of_the_edited_text(spark, odd_documents,
     assert all(whole[d]["s"] == got[d]["sel"] for d in got)
 
 
+def test_ids_of_many_rows(spark):
+    """Ids that a third of all rows share, and null ids, are dealt over several buckets in their order."""
+    rows = [(i if i < 40 else 17 if i < 80 else None, f"text {i} " * 6) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    h = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    got = winnow.compared_with_next(docs, rows=5).collect()
+    edited = lambda t, n: t[:len(t) - len(t) // 4] + n[:len(t) // 4]
+    want = sorted((str(d), edited(t, order[(i + 1) % len(order)][1])) for i, (d, t) in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited"]) for r in got) == want
+    ids = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    b = ids.withColumn("b", winnow._bucket(F.col("doc_id"), F.col("h"), *winnow._bounds(ids, 5))).groupBy("b").count()
+    assert b.agg(F.max("count")).first()[0] <= 20
+
+
 def test_empty_table_and_single_row(spark, odd_documents):
     assert winnow.compared_with_next(odd_documents.limit(0)).count() == 0
     one = winnow.compared_with_next(odd_documents.filter("doc_id = 7")).collect()
