@@ -29,6 +29,8 @@ _GOLDEN = 2654435769
 #: Blocks of the whole mix at the least, and words of a block at the most.
 _BLOCKS, _BLOCK_WORDS = 1 << 18, 1 << 16
 _CHUNK = 4096
+#: Rows of sources that may be broadcast; where there are more, Spark joins them like any table.
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, passes: int = PASSES) -> list[float]:
@@ -53,8 +55,7 @@ def water_fill(sizes: list[int], weights: list[float], total: float, passes: int
 def plan(sized: DataFrame) -> tuple[DataFrame, int]:
     """Per source: size, target, quota (words to take), slots; and the block size.
 
-    One row per source comes to the driver; a corpus has few of them, and their number does not depend
-    on its documents.
+    One row per source comes to the driver, a few numbers and its name.
     """
     rows = sized.groupBy("source").agg(F.sum("size").alias("s")).collect()
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -97,7 +98,11 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     inner = F.row_number().over(Window.partitionBy("src", "c").orderBy("t")) - 1
     ranked = slots.withColumn("i", inner).join(base, ["src", "c"]).select("t", "src", (F.col("base") + F.col("i")).alias("rank"))
     want = sources.select("src", (F.col("hi") - F.col("lo")).alias("slots"))
-    return ranked.join(F.broadcast(want), "src").filter(F.col("rank") < F.col("slots")).drop("slots")
+    return ranked.join(_hinted(want, len(cuts)), "src").filter(F.col("rank") < F.col("slots")).drop("slots")
+
+
+def _hinted(sources: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
 
 
 def _streams(sized: DataFrame, seed: int) -> DataFrame:
@@ -130,8 +135,9 @@ def mix(docs: DataFrame, seed: int = 0, doc_id: str = "doc_id", text: str = "tex
     d = written(d, "sizes")
     sources, block = plan(d)
     sources = written(sources.coalesce(1), "sources")
-    n_slots = sources.agg(F.max("hi")).first()[0] or 0
-    known = d.join(F.broadcast(sources.select("src", F.col("source").alias("_s"), "source_size", "target", "quota")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+    n_slots, n_sources = sources.agg(F.max("hi"), F.count("*")).first()
+    n_slots = n_slots or 0
+    known = d.join(_hinted(sources.select("src", F.col("source").alias("_s"), "source_size", "target", "quota"), n_sources), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
     placed = _streams(known, seed)
     passes = F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1)))
     spans = placed.withColumn("p", passes).withColumn("a", F.col("pos") + F.col("p") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("a < b")
