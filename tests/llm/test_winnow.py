@@ -10,12 +10,7 @@ from lodestone.llm import winnow
 
 
 def gram_hash(text, i, k):
-    """The hash of the gram at i: three pieces, the last one ending with the gram."""
-    q = -(-k // 3)
-    piece = lambda a: xxhash.xxh64(text[a:a + q].encode("utf-32-be"), seed=42).intdigest() & ((1 << 30) - 1)
-    total = sum(piece(i + at) * f for at, f in zip((0, min(q, k - q), k - q), winnow.FACTORS))
-    assert total < 1 << 63
-    return total >> 29 & 0xFFFFFFFF
+    return xxhash.xxh64(text[i:i + k].encode("utf-32-be"), seed=42).intdigest() & 0xFFFFFFFF
 
 
 def brute(text, k=winnow.K, w=winnow.W):
