@@ -18,8 +18,10 @@ results per document or per pair, and the partial counts are summed.
    component.
 
 So components are exact, while a group of near copies costs a few queries a set instead of all pairs.
-Where there are many sets, a fragment is also cut by sets: its lists are dealt by a hash of the set, and
-queries come to all parts, so a shingle that a third of all sets hold is no group of one task.
+Where there are many sets or pairs, a fragment is also cut into parts: clusters are dealt to them whole, and
+a large cluster by its sets, with its queries in all of its parts.  Partial overlaps are dealt to so many
+buckets that each holds a bounded number, by cluster and queries and, in a large cluster, by the other set.
+So a shingle that a third of all sets hold is no group of one task, and groups don't grow with the input.
 """
 
 from __future__ import annotations
@@ -42,15 +44,18 @@ from .tokens import slices
 WORDS, PERCENT = 5, 80
 #: Shingles that a fragment holds on average; the number of fragments follows from the data.
 FRAGMENT = 1_500_000
-#: The same among sets that can link, sets that a fragment's part deals with, and pair increments made at a time.
+#: The same among sets that can link, sets that a fragment's part deals with, and pair increments made at a
+#: time.  A fragment with twice its shingles has some of very many sets and is cut by sets.
 JOIN_FRAGMENT, PART, INCREMENTS = 1_000_000, 200_000, 500_000
 #: Bytes of text shingled at a time, and shingles of sets packed at a time.
 SCAN_BYTES, PACKED = 6_000_000, 1_000_000
 #: Leaders of a cluster in the first turn, and times as many in each further turn; queries of one cluster
 #: whose links are found together.
 SEEDS, GROWTH, TOGETHER = 6, 10, 16
-#: Partial overlaps that are summed together.
-SUMMED = 2_000_000
+#: Partial overlaps that are summed together, and pairs that a fragment's part may have, at the most.
+SUMMED = 1_000_000
+#: A cluster is cut by sets where it has more than one in so many of a part's sets or pairs, or of a bucket's overlaps.
+SHARE = 8
 
 
 def _fragments(total: int, each: int) -> int:
@@ -175,8 +180,8 @@ def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cid": classes, "shared": np.bincount(who, both[1], len(classes)).astype(np.int64)})
 
 
-def _hashed(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+def _hashed(ids: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.asarray(n, np.uint64)).astype(np.int64)
 
 
 def _blocks(batches, names: list[str]):
@@ -224,34 +229,52 @@ def _unpacked(payloads, n_cols: int, n_entries: int = 1) -> tuple[list[np.ndarra
     return [np.concatenate(c) for c in cols], size, [np.concatenate(e) for e in entries], np.repeat(np.arange(len(size)), size)
 
 
-def _split(sets: DataFrame, n_fragments: int, n_parts: int, names: list[str], query: str | None = None) -> DataFrame:
-    """Packed rows (frag, part, asks, payload) of sets and their shingles in a fragment: each set in the
-    part of its hash, and, with ``asks``, the sets that are queries in all parts."""
+def _cut(key: np.ndarray, at: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The places ``at``, ascending, of each key."""
+    order = np.argsort(key, kind="stable")
+    values, first = np.unique(key[order], return_index=True)
+    return list(zip(values.tolist(), np.split(at[order], first[1:]) if len(values) else []))
+
+
+def _split(sets: DataFrame, n_fragments: int, hot: dict[int, int]) -> DataFrame:
+    """Packed rows (frag, part, payload) of sets (cid, n) and their shingles in a fragment; hot fragments are
+    cut into so many parts by the hash of the set."""
+    cuts, parts = _cuts(n_fragments), np.ones(n_fragments, np.int64)
+    parts[list(hot)] = list(hot.values())
+    most = int(parts.max())
+
+    def run(batches):
+        for cols, _, flat, who in _blocks(batches, ["cid", "n"]):
+            frag = np.searchsorted(cuts, flat)
+            rows = [(v // most, v % most, _pack(cols, who[own], flat[own])) for v, own in _cut(frag * most + _hashed(cols[0][who], parts[frag]), np.arange(len(flat)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["frag", "part", "payload"])
+
+    return sets.mapInArrow(task(run), "frag int, part int, payload binary")
+
+
+def _dealt(sets: DataFrame, n_fragments: int, n_parts: int) -> DataFrame:
+    """Packed rows (frag, part, asks, payload) of sets and their shingles in a fragment: each cluster in the
+    part of its hash, or dealt by the hash of the set to ``spread`` parts; and, with ``asks``, the sets that are
+    queries (splits > 0) in all parts of their cluster."""
     cuts = _cuts(n_fragments)
 
     def run(batches):
-        for (*cols, asks), _, flat, who in _blocks(batches, [*names, query] if query else [*names, names[0]]):
-            rows = []
-            key = np.searchsorted(cuts, flat) * n_parts + _hashed(cols[0], n_parts)[who]
-            order = np.argsort(key, kind="stable")
-            values, first = np.unique(key[order], return_index=True)
-            for v, own in zip(values.tolist(), np.split(order, first[1:])):
-                rows.append((v // n_parts, v % n_parts, False, _pack(cols, who[own], flat[own])))
-            if query:
-                mine = np.flatnonzero(asks[who])
-                order = mine[np.argsort(key[mine] // n_parts, kind="stable")]
-                values, first = np.unique(key[order] // n_parts, return_index=True)
-                for v, own in zip(values.tolist(), np.split(order, first[1:]) if len(values) else []):
-                    payload = _pack(cols, who[own], flat[own])
-                    rows += [(v, p, True, payload) for p in range(n_parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["frag", "part", "asks", "payload"])
+        for (*cols, spread, splits), _, flat, who in _blocks(batches, ["cid", "n", "cluster", "comp", "spread", "splits"]):
+            frag, home, mine = np.searchsorted(cuts, flat), _hashed(cols[2], n_parts), np.flatnonzero(splits[who])
+            turns = [(False, cols, np.arange(len(flat)), _hashed(cols[0], spread))]
+            turns += [(True, [*cols, splits], mine[spread[who[mine]] > i], i) for i in range(int(spread[who[mine]].max(initial=0)))]
+            for asks, own, at, place in turns:
+                part = ((home + place) % n_parts)[who[at]]
+                rows = [(v // n_parts, v % n_parts, asks, _pack(own, who[x], flat[x])) for v, x in _cut(frag[at] * n_parts + part, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["frag", "part", "asks", "payload"])
 
     return sets.mapInArrow(task(run), "frag int, part int, asks boolean, payload binary")
 
 
 def _counts(sets: DataFrame, n_fragments: int) -> DataFrame:
-    """Per fragment the shingles of two or more sets and the numbers of their sets, summed in tasks first."""
-    cuts = _cuts(n_fragments)
+    """Per fragment the shingles of two or more sets and the numbers of their sets, summed in tasks first, and
+    the parts it is cut into."""
+    cuts, each = _cuts(n_fragments), JOIN_FRAGMENT
 
     def run(batches):
         for _, _, flat, _ in _blocks(batches, []):
@@ -264,9 +287,11 @@ def _counts(sets: DataFrame, n_fragments: int) -> DataFrame:
         s, n = np.concatenate([np.frombuffer(p, np.uint64).reshape(2, -1) for p in pdf["payload"]], axis=1)
         s, at = np.unique(s, return_inverse=True)
         n = np.bincount(at, n.astype(np.float64)).astype(np.uint64)
-        return pd.DataFrame({"frag": [key[0]], "payload": [s[n > 1].tobytes() + n[n > 1].tobytes()]})
+        size = int(n.sum())
+        parts = _fragments(size, each) if size > 2 * each else 1
+        return pd.DataFrame({"frag": [key[0]], "parts": [parts], "payload": [s[n > 1].tobytes() + n[n > 1].tobytes()]})
 
-    return sets.select("shingles").mapInArrow(task(run), "frag int, payload binary").groupBy("frag").applyInPandas(group_task(total), "frag int, payload binary")
+    return sets.select("shingles").mapInArrow(task(run), "frag int, payload binary").groupBy("frag").applyInPandas(group_task(total), "frag int, parts int, payload binary")
 
 
 def _frequencies(n_buckets: int):
@@ -313,7 +338,7 @@ def _overlaps(percent: int, n_buckets: int, n_groups: int):
         and those of what they have in other fragments."""
         asks = pdf["asks"].to_numpy()
         (y_cid, y_n, y_cluster, y_comp), y_size, (y_flat,), y_who = _unpacked(pdf["payload"][~asks], 4)
-        (x_cid, x_n, x_cluster, x_comp), x_size, (x_flat,), x_who = _unpacked(pdf["payload"][asks], 4)
+        (x_cid, x_n, x_cluster, x_comp, x_splits), x_size, (x_flat,), x_who = _unpacked(pdf["payload"][asks], 5)
         rows = []
         if len(x_flat) and len(y_flat):
             flat, cluster = np.concatenate([y_flat, x_flat]), np.concatenate([y_cluster[y_who], x_cluster[x_who]])
@@ -329,7 +354,7 @@ def _overlaps(percent: int, n_buckets: int, n_groups: int):
             reps, m = length[x_run], len(y_cid)
             starts = np.flatnonzero(_starts(x_at))
             block = np.add.reduceat(reps, starts).cumsum() // INCREMENTS
-            bucket_of = _hashed(x_cluster + _hashed(x_cid, n_groups), n_buckets)
+            group = x_cluster + _hashed(x_cid, n_groups)
             for k in np.unique(block):  # whole queries, about INCREMENTS increments at a time
                 own = np.flatnonzero(block == k)
                 a, b = starts[own[0]], starts[own[-1] + 1] if own[-1] + 1 < len(starts) else len(x_at)
@@ -342,12 +367,12 @@ def _overlaps(percent: int, n_buckets: int, n_groups: int):
                 elsewhere = np.minimum(x_n[x] - x_size[x], y_n[y] - y_size[y])
                 fits = (100 + percent) * (c + elsewhere) >= percent * (x_n[x] + y_n[y])
                 x, y, c = x[fits], y[fits], c[fits]
-                bucket = bucket_of[x]
+                bucket = _hashed(group[x] + (_hashed(y_cid[y], x_splits[x]) << 32), n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 values, cut = np.unique(bucket[order], return_index=True)
                 both = np.stack([x_cid[x], y_cid[y], x_comp[x], y_comp[y], x_n[x] + y_n[y], c])[:, order]
-                rows += [(v, key[1], p.tobytes()) for v, p in zip(values.tolist(), np.split(both, cut[1:], axis=1) if len(values) else [])]
-        return pd.DataFrame(rows, columns=["bucket", "part", "payload"])
+                rows += [(v, p.tobytes()) for v, p in zip(values.tolist(), np.split(both, cut[1:], axis=1) if len(values) else [])]
+        return pd.DataFrame(rows, columns=["bucket", "payload"])
 
     return count
 
@@ -370,24 +395,32 @@ def _linked(percent: int):
 def links(sets: DataFrame, marks: DataFrame, percent: int, n_groups: int = 1) -> DataFrame:
     """Links found by the queries among marks (cid, n, cluster, comp, query), as edges (a, b) between
     components: partial overlaps per fragment, summed per pair."""
-    size = marks.groupBy("cluster").agg(F.count("*").alias("m"), F.count_if("query").alias("q"), F.sum("n").alias("n"))
-    size = size.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("q")).alias("pairs"), F.sum("n").alias("n")).first()
-    n_parts = _fragments(size["m"] or 0, PART)
-    n_fragments = _fragments(size["n"] or 0, JOIN_FRAGMENT * n_parts)
-    n_buckets = _fragments((size["pairs"] or 0) * min(n_fragments, 4), SUMMED * n_parts)
-    marked = sets.select("cid", "shingles").join(marks.withColumn("query", F.col("query").cast("long")), "cid")
-    pieces = _split(marked, n_fragments, n_parts, ["cid", "n", "cluster", "comp"], "query")
-    partial = pieces.groupBy("frag", "part").applyInPandas(group_task(_overlaps(percent, n_buckets, n_groups)), "bucket int, part int, payload binary")
-    return partial.groupBy("bucket", "part").applyInPandas(group_task(_linked(percent)), "a long, b long")
-
-
-def _postings(sets: DataFrame, total: int, n_sets: int, percent: int) -> DataFrame:
-    n_parts = _fragments(n_sets, PART)
-    n_fragments = _fragments(total, JOIN_FRAGMENT * n_parts)
-    n_buckets = n_parts * _fragments(total, JOIN_FRAGMENT * n_parts)
-    counts = _counts(sets, n_fragments).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    pieces = _split(sets, n_fragments, n_parts, ["cid", "n"])
-    found = pieces.groupBy("frag", "part").cogroup(counts.groupBy("frag", "part")).applyInPandas(_frequencies(n_buckets), "bucket int, payload binary")
+    size = marks.groupBy("cluster").agg(F.count("*").alias("m"), F.count_if("query").alias("q"), F.sum("n").alias("n"), F.max("n").alias("longest"))
+    size = written(size.withColumn("pairs", F.col("m") * F.col("q")), "clusters")
+    total = size.agg(F.sum("m").alias("m"), F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+    n_parts = max(_fragments(total["m"] or 0, PART), _fragments(total["pairs"] or 0, SUMMED))
+    n_fragments = _fragments(total["n"] or 0, JOIN_FRAGMENT * n_parts)
+    # a pair has a partial overlap in each fragment where both have the shingle, so in that many at the most
+    most = F.least("longest", F.lit(n_fragments))
+    n_buckets = _fragments(size.agg(F.sum(F.col("pairs") * most).alias("n")).first()["n"] or 0, SUMMED)
+    spread = F.least(F.lit(n_parts), F.ceil(F.greatest(F.col("m") / PART, F.col("pairs") / SUMMED) * SHARE))
+    splits = F.least("m", F.ceil(F.col("m") * F.greatest(F.col("q") / n_groups, F.lit(1.0)) * most * SHARE / SUMMED))
+    large = size.select("cluster", spread.cast("long").alias("spread"), splits.cast("long").alias("splits")).filter("spread > 1 OR splits > 1")
+    one = F.lit(1).cast("long")
+    marks = marks.join(large, "cluster", "left").select(
+        "cid", "n", "cluster", "comp", F.coalesce("spread", one).alias("spread"), F.when(F.col("query"), F.coalesce("splits", one)).otherwise(F.lit(0).cast("long")).alias("splits"))
+    pieces = _dealt(sets.select("cid", "shingles").join(marks, "cid"), n_fragments, n_parts)
+    partial = pieces.groupBy("frag", "part").applyInPandas(group_task(_overlaps(percent, n_buckets, n_groups)), "bucket int, payload binary")
+    return partial.groupBy("bucket").applyInPandas(group_task(_linked(percent)), "a long, b long")
+
+
+def _postings(sets: DataFrame, total: int, percent: int) -> DataFrame:
+    n_fragments = _fragments(total, JOIN_FRAGMENT)
+    counts = written(_counts(sets, n_fragments), "counts")
+    hot = {r["frag"]: r["parts"] for r in counts.filter("parts > 1").select("frag", "parts").collect()}
+    counts = counts.select("frag", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "payload")
+    pieces = _split(sets, n_fragments, hot)
+    found = pieces.groupBy("frag", "part").cogroup(counts.groupBy("frag", "part")).applyInPandas(_frequencies(n_fragments), "bucket int, payload binary")
     return found.groupBy("bucket").applyInPandas(group_task(_prefixes(percent)), "shingle long, cid long")
 
 
@@ -463,8 +496,7 @@ def _components_of(docs: DataFrame, able: DataFrame, words: int, percent: int) -
     able = able.select("cid", "n", F.col("d").alias("rd"), F.col("h").alias("rh"))
     texts = docs.join(able, docs["d"].eqNullSafe(able["rd"]) & (docs["h"] == able["rh"])).select("cid", "n", "t")
     sets = written(texts.mapInArrow(task(run), "cid long, n long, shingles binary").dropDuplicates(["cid"]), "able")
-    size = sets.agg(F.count("*").alias("m"), F.sum("n").alias("n")).first()
-    postings = written(_postings(sets, size["n"] or 0, size["m"], percent), "postings")
+    postings = written(_postings(sets, sets.agg(F.sum("n")).first()[0] or 0, percent), "postings")
     # a list of one set has no pair
     lists = postings.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1").select("shingle")
     postings = written(postings.join(lists, "shingle"), "postings")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import uuid
 import re
 from collections import Counter, defaultdict
 
@@ -93,6 +94,47 @@ def test_similarity_join_in_parts(spark, monkeypatch):
     assert got_components(similarity.near_duplicates(df)) == brute_components(rows)
 
 
+def test_groups_of_the_join_are_bounded(spark, monkeypatch, tmp_path):
+    """However many fragments a pair's overlap is cut into, and however many sets a cluster has: partial
+    overlaps summed together, and shingles that come to one task, keep their bounds."""
+    bounds = {"JOIN_FRAGMENT": 1000, "SUMMED": 1000, "PART": 100, "PACKED": 2000, "INCREMENTS": 2000}
+    for name, n in bounds.items():
+        monkeypatch.setattr(similarity, name, n)
+    seen = str(tmp_path)
+
+    def noted(kind, factory, size):
+        def made(*args):
+            inner = factory(*args)
+
+            def run(key, pdf):
+                with open(f"{seen}/{kind}-{'-'.join(map(str, key))}-{uuid.uuid4().hex}", "w") as out:
+                    out.write(str(size(pdf)))
+                return inner(key, pdf)
+
+            return run
+
+        return made
+
+    # 48 bytes a partial overlap; 8 a shingle, with some for the set
+    monkeypatch.setattr(similarity, "_linked", noted("linked", similarity._linked, lambda pdf: sum(map(len, pdf["payload"])) // 48))
+    monkeypatch.setattr(similarity, "_overlaps", noted("overlaps", similarity._overlaps, lambda pdf: sum(map(len, pdf["payload"])) // 8))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for copies in [260] + [4] * 60:
+        base = [rng.choice(words) for _ in range(90)]
+        for _ in range(copies):
+            t = base[:]
+            t[rng.randrange(90)] = f"n{rng.random()}"
+            texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    got = got_components(similarity.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    sizes = {kind: [int(p.read_text()) for p in tmp_path.glob(f"{kind}-*")] for kind in ("linked", "overlaps")}
+    assert got == brute_components(rows)
+    # dealt by hashes, so groups vary around the bounds; an entry of _overlaps also has up to seven words on its set
+    assert max(sizes["linked"]) < 3 * bounds["SUMMED"] and max(sizes["overlaps"]) < 4 * 7 * bounds["JOIN_FRAGMENT"]
+
+
 def test_links_grow_with_the_group(spark, monkeypatch):
     """Edges into the components stay below the sets of a group of near copies."""
     seen, inner = [], similarity.links
