@@ -13,6 +13,8 @@ import pyarrow as pa
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes of texts that are hashed together: a byte takes some 100 bytes of memory meanwhile, one longer text more.
+HASHED = 1_000_000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,6 +86,15 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Per text the sorted distinct 64-bit hashes of its k-word shingles, A-Z lower-cased; with fewer
     words the hash of the whole sequence, without words none."""
     data, bounds = joined(texts)
+    out, a = [], 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + HASHED, "right")) - 1)
+        out += _shingle_sets(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], k)
+        a = b
+    return out
+
+
+def _shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
     data = _LOWER[data]
     starts, ends, at = word_bounds(data, bounds)
     words = mix(substring_hashes(running(data), starts, ends))

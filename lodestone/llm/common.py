@@ -72,16 +72,18 @@ def row_hash(df: DataFrame):
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of so many rows at the most for what runs inside: texts are long, and a batch is in
-    memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20):
+    """Arrow batches of so many rows and bytes at the most (one row more, for the bytes) for what runs inside:
+    texts are long, and a batch is in memory on both sides."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {name: spark.conf.get(name) for name in names}
+    spark.conf.set(names[0], str(min(int(before[names[0]]), rows) if int(before[names[0]]) > 0 else rows))
+    spark.conf.set(names[1], str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _release() -> None:

@@ -27,6 +27,7 @@ So a shingle that a third of all sets hold is no group of one task, and groups d
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,8 @@ FRAGMENT = 1_500_000
 JOIN_FRAGMENT, PART, INCREMENTS = 1_000_000, 200_000, 500_000
 #: Bytes of text shingled at a time, and shingles of sets packed at a time.
 SCAN_BYTES, PACKED = 6_000_000, 1_000_000
+#: Bytes of packed rows that a worker hands on at a time; they are in memory on both sides.
+SENT = 2_000_000
 #: Leaders of a cluster in the first turn, and times as many in each further turn; queries of one cluster
 #: whose links are found together.
 SEEDS, GROWTH, TOGETHER = 6, 10, 16
@@ -78,6 +81,16 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _sent(names: list[str], types: list[pa.DataType], *cols: list) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column are packed bytes, in batches of some SENT bytes; cols are emptied."""
+    while cols[0]:
+        n = max(1, int(np.searchsorted(np.cumsum(np.fromiter(map(len, cols[-1]), np.int64, len(cols[-1]))), SENT, "right")))
+        batch = pa.RecordBatch.from_arrays([pa.array(c[:n], t) for c, t in zip(cols, types)], names=names)
+        for c in cols:
+            del c[:n]
+        yield batch
+
+
 def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     """Packed rows (frag, payload).  frag >= 0: classes of one batch with their shingles in that fragment,
     as class ids, counts, and 32-bit places within the fragment, and the places that several classes of
@@ -90,44 +103,48 @@ def _scan(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     def places(flat: np.ndarray, frag: np.ndarray) -> np.ndarray:
         return ((flat - low[frag]) >> shift).astype(np.uint32)
 
+    def packed(part: pa.RecordBatch, task: int) -> tuple[list[int], list[bytes]]:
+        sets = shingle_sets(part.column("t"), words)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        cid = np.fromiter((_class_id(s) if len(s) else 0 for s in sets), np.int64, len(sets))
+        ids, first, of = np.unique(cid[n > 0], return_index=True, return_inverse=True)
+        own = [sets[i] for i in np.flatnonzero(n > 0)[first]]
+        local, frags, rows = np.zeros(len(sets), np.int64), [], []
+        if own:
+            flat, who = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(s) for s in own])
+            del sets
+            order = np.argsort(flat, kind="stable")
+            s = flat[order]
+            new = _starts(s)
+            several = ~(new & np.append(new[1:], True))
+            many = np.empty(len(flat), bool)
+            many[order] = several
+            local[n > 0] = np.bincount(who[many], minlength=len(own))[of]
+            shared = s[several & new]
+            del order, s, new, several
+            flat, who = flat[~many], who[~many]
+            frag, s_ends = np.searchsorted(cuts, flat).astype(np.int32), np.searchsorted(np.searchsorted(cuts, shared), np.arange(n_fragments + 1))
+            order = np.argsort(frag, kind="stable")
+            place, who = places(flat, frag)[order], who[order]
+            ends = np.searchsorted(frag[order], np.arange(n_fragments + 1))
+            del flat, frag, order, many
+            for f in np.flatnonzero((np.diff(ends) > 0) | (np.diff(s_ends) > 0)).tolist():
+                counts = np.bincount(who[ends[f]:ends[f + 1]], minlength=len(own)).astype(np.uint32)
+                used = np.flatnonzero(counts)
+                again = shared[s_ends[f]:s_ends[f + 1]]
+                frags.append(f)
+                rows.append(np.array([len(used), len(again)], np.int64).tobytes() + ids[used].tobytes() + counts[used].tobytes() + places(again, np.full(len(again), f)).tobytes() + place[ends[f]:ends[f + 1]].tobytes())
+        sink = pa.BufferOutputStream()
+        members = pa.RecordBatch.from_arrays([pa.array(cid, mask=n == 0), part.column("d"), part.column("h"), pa.array(n), pa.array(local)], names=["cid", "doc_id", "h", "n", "local"])
+        with pa.ipc.new_stream(sink, members.schema) as out:
+            out.write_batch(members)
+        return [*frags, task], [*rows, sink.getvalue().to_pybytes()]
+
     def run(batches):
         task = -1 - TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, "t", SCAN_BYTES):
-                sets = shingle_sets(part.column("t"), words)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                cid = np.fromiter((_class_id(s) if len(s) else 0 for s in sets), np.int64, len(sets))
-                ids, first, of = np.unique(cid[n > 0], return_index=True, return_inverse=True)
-                own = [sets[i] for i in np.flatnonzero(n > 0)[first]]
-                local, frags, rows = np.zeros(len(sets), np.int64), [], []
-                if own:
-                    flat, who = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
-                    order = np.argsort(flat, kind="stable")
-                    s = flat[order]
-                    new = _starts(s)
-                    several = ~(new & np.append(new[1:], True))
-                    many = np.empty(len(flat), bool)
-                    many[order] = several
-                    local[n > 0] = np.bincount(who[many], minlength=len(own))[of]
-                    shared = s[several & new]
-                    flat, who = flat[~many], who[~many]
-                    frag, s_ends = np.searchsorted(cuts, flat), np.searchsorted(np.searchsorted(cuts, shared), np.arange(n_fragments + 1))
-                    order = np.argsort(frag, kind="stable")
-                    place, who = places(flat, frag)[order], who[order]
-                    ends = np.searchsorted(frag[order], np.arange(n_fragments + 1))
-                    for f in np.flatnonzero((np.diff(ends) > 0) | (np.diff(s_ends) > 0)).tolist():
-                        counts = np.bincount(who[ends[f]:ends[f + 1]], minlength=len(own)).astype(np.uint32)
-                        used = np.flatnonzero(counts)
-                        again = shared[s_ends[f]:s_ends[f + 1]]
-                        frags.append(f)
-                        rows.append(np.array([len(used), len(again)], np.int64).tobytes() + ids[used].tobytes() + counts[used].tobytes() + places(again, np.full(len(again), f)).tobytes() + place[ends[f]:ends[f + 1]].tobytes())
-                sink = pa.BufferOutputStream()
-                members = pa.RecordBatch.from_arrays([pa.array(cid, mask=n == 0), part.column("d"), part.column("h"), pa.array(n), pa.array(local)], names=["cid", "doc_id", "h", "n", "local"])
-                with pa.ipc.new_stream(sink, members.schema) as out:
-                    out.write_batch(members)
-                frags.append(task)
-                rows.append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array(frags, pa.int32()), pa.array(rows, pa.binary())], names=["frag", "payload"])
+                yield from _sent(["frag", "payload"], [pa.int32(), pa.binary()], *packed(part, task))
 
     return docs.mapInArrow(task(run), "frag int, payload binary")
 
@@ -156,8 +173,8 @@ def _shared(n_buckets: int):
         also[:-1] |= same
         also |= np.isin(place, np.unique(np.concatenate(again)).astype(np.uint64))
         n = np.bincount((pairs[also] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(classes))
-        bucket = np.where(n > 0, classes % n_buckets, -1)
-        rows = [(b, classes[bucket == b].tobytes() + n[bucket == b].tobytes()) for b in np.unique(bucket[bucket >= 0]).tolist()]
+        use = np.flatnonzero(n > 0)
+        rows = [(b, classes[own].tobytes() + n[own].tobytes()) for b, own in _cut(classes[use] % n_buckets, use)]
         return pd.DataFrame(rows, columns=["bucket", "payload"])
 
     return count
@@ -173,11 +190,14 @@ def _members(state: DataFrame) -> DataFrame:
 
 
 def _summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The partial numbers of a bucket's classes, summed."""
-    parts = [np.frombuffer(p, np.int64).reshape(2, -1) for p in pdf["payload"]]
-    both = np.concatenate(parts, axis=1)
-    classes, who = np.unique(both[0], return_inverse=True)
-    return pd.DataFrame({"cid": classes, "shared": np.bincount(who, both[1], len(classes)).astype(np.int64)})
+    """The partial numbers of a bucket's classes, summed, some rows at a time."""
+    classes, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.cumsum(pdf["payload"].map(len).to_numpy()) // SENT
+    for _, payloads in pdf["payload"].groupby(ends):
+        both = np.concatenate([np.stack([classes, shared]), *(np.frombuffer(p, np.int64).reshape(2, -1) for p in payloads)], axis=1)
+        classes, who = np.unique(both[0], return_inverse=True)
+        shared = np.bincount(who, both[1], len(classes)).astype(np.int64)
+    return pd.DataFrame({"cid": classes, "shared": shared})
 
 
 def _hashed(ids: np.ndarray, n: int | np.ndarray) -> np.ndarray:
@@ -464,7 +484,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), row_hash(docs).alias("h"), F.col(f"`{text}`").alias("t"))
     chars = docs.agg(F.sum(F.length("t"))).first()[0] or 0
     n_fragments = _fragments(chars // 6, FRAGMENT)
-    packed = _scan(docs, n_fragments, words).groupBy("frag").applyInPandas(group_task(_shared(-(-n_fragments // 8))), "bucket int, payload binary")
+    packed = _scan(docs, n_fragments, words).groupBy("frag").applyInPandas(group_task(_shared(-(-n_fragments // 2))), "bucket int, payload binary")
     with small_batches(docs.sparkSession):
         state = written(packed, "fragments")
     members = written(_members(state), "members")

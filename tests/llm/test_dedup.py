@@ -2,11 +2,17 @@
 
 import hashlib
 import random
+import tracemalloc
 import uuid
 import re
 from collections import Counter, defaultdict
 
-from lodestone.llm import lines, repeats, similarity
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from lodestone.llm import bytehash, lines, repeats, similarity
+from lodestone.llm.bytehash import shingle_sets
+from lodestone.llm.common import small_batches
 from lodestone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,6 +141,43 @@ def test_groups_of_the_join_are_bounded(spark, monkeypatch, tmp_path):
     assert max(sizes["linked"]) < 3 * bounds["SUMMED"] and max(sizes["overlaps"]) < 4 * 7 * bounds["JOIN_FRAGMENT"]
 
 
+def test_memory_of_the_scan(spark, monkeypatch):
+    """A worker that scans holds few bytes for a byte of text, and gets and hands on small batches, in however
+    many fragments the shingles are."""
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(similarity, "TaskContext", Task)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(600)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"d": range(2000), "h": range(2000), "t": texts})
+    own = shingle_sets(batch.column("t"), 5)
+    for i in (0, 700, 1999):  # as alone
+        assert own[i].tolist() == shingle_sets(batch.column("t")[i:i + 1], 5)[0].tolist()
+    del own
+    bytehash._POWERS.clear()
+    tracemalloc.start()
+    sent = [b.nbytes for b in similarity._scan(Docs(), 1000, 5)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and max(sent) < 1.1 * 2_000_000 < sum(sent), (peak, sent)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    long = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    with small_batches(spark):
+        got = [r["size"] for r in long.mapInArrow(sizes, "size long").collect()]
+    assert sum(got) > 30e6 and max(got) < 4.5e6
+
+
 def test_links_grow_with_the_group(spark, monkeypatch):
     """Edges into the components stay below the sets of a group of near copies."""
     seen, inner = [], similarity.links
