@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import task, written
 
+#: Edges that one task solves by itself; more are solved in star steps.
+ALONE = 200_000
+
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The components of a few edges, as edges from each node to the smallest one of its component: fewer
@@ -54,18 +57,22 @@ def _solved(e: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 1 OR (up = 1 AND n > 1)").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of edges (a, b): the smallest node that each one reaches.
+def roots(edges: DataFrame) -> DataFrame:
+    """(u, v) for all nodes u of edges (a, b) that reach a smaller one, v the smallest of these; written.
 
-    Each task first hands on only stars of what it holds, so a few edges are solved at once.  In the star
-    steps, a node with many links is summed up before the shuffle; its links are rows of a join, never one
-    group in a task.  Each round writes its edges, so a lost executor repeats part of one round.  Self
-    links are allowed and give components of one; null ends are not.
+    Each task first hands on only stars of what it holds, so of a few components few edges are left.  Up
+    to ALONE edges are solved in one task.  In the star steps, a node with many links is summed up before
+    the shuffle; its links are rows of a join, never one group in a task.  Each round writes its edges, so
+    a lost executor repeats part of one round.  Null ends are not allowed.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    alone = pairs.filter("u = v").select(F.col("u").alias("node")).distinct()
-    e = written(contracted(contracted(pairs.filter("u != v")).distinct()), "edges")
-    while not _solved(e):
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v")
+    e = written(contracted(pairs), "edges")
+    if (n := e.count()) > ALONE:
+        e = written(contracted(e.distinct()), "edges")
+        n = e.count()
+    while n > ALONE:
+        if _solved(e):
+            return e
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = _min_neighbour(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(m, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -73,6 +80,15 @@ def components(edges: DataFrame) -> DataFrame:
         m = _min_neighbour(large)
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         e = written(contracted(small), "edges")
+        n = e.count()
+    return written(contracted(e.repartition(1)), "edges")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for all nodes of edges (a, b): the smallest node that each one reaches.  Self links
+    are allowed and give components of one."""
+    e = roots(edges)
     # every node but the smallest of its component has one edge, to that smallest node
     linked = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())
+    alone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     return linked.union(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -14,7 +14,8 @@ results per document or per pair, and the partial counts are summed.
    links, of which only stars between components are kept.  First queries are a few leaders of each
    cluster.  A set is open if it was no query and stands outside the component that has most such sets of
    one of its lists; next queries are leaders of the open sets, ten times as many a cluster in each turn,
-   until no set is open.  Then no pair of a list is left: one of the two was a query, or both are in one
+   until no set is open.  Where a bounded number of shingles is left to be compared, all open sets are the
+   queries of a last turn.  Then no pair of a list is left: one of the two was a query, or both are in one
    component.
 
 So components are exact, while a group of near copies costs a few queries a set instead of all pairs.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import mix, shingle_sets
 from .common import group_task, row_hash, small_batches, task, written
-from .components import components, stars
+from .components import roots, stars
 from .tokens import slices
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
@@ -55,6 +56,8 @@ SENT = 2_000_000
 #: Leaders of a cluster in the first turn, and times as many in each further turn; queries of one cluster
 #: whose links are found together.
 SEEDS, GROWTH, TOGETHER = 6, 10, 16
+#: Shingles that the queries of a turn may be compared with for all open sets to be queries.
+AT_ONCE = 500_000_000
 #: Partial overlaps that are summed together, and pairs that a fragment's part may have, at the most.
 SUMMED = 1_000_000
 #: A cluster is cut by sets where it has more than one in so many of a part's sets or pairs, or of a bucket's overlaps.
@@ -451,8 +454,8 @@ def _clusters(postings: DataFrame) -> DataFrame:
     labels = written(postings.join(low, "shingle").groupBy("cid").agg(F.min("low").alias("label")), "labels")
     rows = postings.join(labels, "cid").select("shingle", "label").distinct()
     least = rows.groupBy("shingle").agg(F.min("label").alias("b"), F.count("*").alias("k")).filter("k > 1").select("shingle", "b")
-    comps = components(rows.join(least, "shingle").select(F.col("label").alias("a"), "b"))
-    return labels.join(comps, labels["label"] == comps["node"], "left").select("cid", F.coalesce("component", "label").alias("cluster"))
+    low = roots(rows.join(least, "shingle").select(F.col("label").alias("a"), "b"))
+    return labels.join(low, labels["label"] == low["u"], "left").select("cid", F.coalesce("v", "label").alias("cluster"))
 
 
 def _leaders(rest: DataFrame, state: DataFrame, many: int, turn: int) -> DataFrame:
@@ -472,6 +475,13 @@ def _open(postings: DataFrame, state: DataFrame) -> DataFrame:
     return rest.join(largest.select("shingle", F.col("top.comp").alias("top")), "shingle").filter("comp != top").select("cid").distinct()
 
 
+def _left(rest: DataFrame, state: DataFrame) -> tuple[int, int]:
+    """The most open sets (rest) of a cluster, and the shingles that they would be compared with if all were queries."""
+    own = state.join(rest.withColumn("open", F.lit(True)), "cid", "left").groupBy("cluster").agg(F.count("open").alias("m"), F.sum("n").alias("n"))
+    got = own.agg(F.max("m").alias("m"), F.sum(F.col("m") * F.col("n")).alias("work")).first()
+    return got["m"] or 0, got["work"] or 0
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, h (hash of the whole row), n_shingles, component_id, first (bool).
 
@@ -522,19 +532,22 @@ def _components_of(docs: DataFrame, able: DataFrame, words: int, percent: int) -
     postings = written(postings.join(lists, "shingle"), "postings")
     clusters = _clusters(postings)
     state = written(clusters.join(sets.select("cid", "n"), "cid").select("cid", "n", "cluster", F.col("cid").alias("comp"), F.lit(False).alias("asked")), "state")
-    rest, many, turn = state.select("cid"), SEEDS, 0
+    rest, many, turn, last = state.select("cid"), SEEDS, 0, False
     while True:
-        queries = written(_leaders(rest, state, many, turn), "queries")
+        queries = rest if last else written(_leaders(rest, state, many, turn), "queries")
         lists = postings.join(queries, "cid", "left_semi").select("shingle").distinct()
         near = postings.join(lists, "shingle", "left_semi").select("cid").distinct()
         asked = queries.withColumn("query", F.lit(True))
         marks = written(state.join(near, "cid", "left_semi").join(asked, "cid", "left").select("cid", "n", "cluster", "comp", F.coalesce("query", F.lit(False)).alias("query")), "marks")
         edges = written(links(sets, marks, percent, -(-many // TOGETHER)), "links")
-        moved = components(edges)
-        state = state.join(moved, state["comp"] == moved["node"], "left").drop("node").join(asked, "cid", "left").select(
-            "cid", "n", "cluster", F.coalesce("component", "comp").alias("comp"), (F.col("asked") | F.col("query").isNotNull()).alias("asked"))
+        moved = roots(edges)
+        state = state.join(moved, state["comp"] == moved["u"], "left").join(asked, "cid", "left").select(
+            "cid", "n", "cluster", F.coalesce("v", "comp").alias("comp"), (F.col("asked") | F.col("query").isNotNull()).alias("asked"))
         state = written(state, "state")
-        rest = written(_open(postings, state), "open")
-        if rest.isEmpty():
+        if not last:
+            rest = written(_open(postings, state), "open")
+            most, work = _left(rest, state)
+        if last or not most:
             return state.select(F.col("cid").alias("node"), F.col("comp").alias("component"))
-        many, turn = many * GROWTH, turn + 1
+        last = work <= AT_ONCE
+        many, turn = most if last else many * GROWTH, turn + 1

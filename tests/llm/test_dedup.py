@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.llm import bytehash, lines, repeats, similarity
+from lodestone.llm import bytehash, components as components_module, lines, repeats, similarity
 from lodestone.llm.bytehash import shingle_sets
 from lodestone.llm.common import small_batches
 from lodestone.llm.components import components
@@ -100,6 +100,21 @@ def test_similarity_join_in_parts(spark, monkeypatch):
     assert got_components(similarity.near_duplicates(df)) == brute_components(rows)
 
 
+def test_few_open_sets_end_the_turns(spark, monkeypatch):
+    """What is left after the first turn takes one more where it is little to compare, and else as many as before."""
+    turns, inner = [], similarity.links
+    monkeypatch.setattr(similarity, "links", lambda *a: turns.append(1) or inner(*a))
+    monkeypatch.setattr(similarity, "SEEDS", 2)
+    monkeypatch.setattr(similarity, "GROWTH", 2)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got_components(similarity.near_duplicates(df)) == brute_components(rows)
+    assert len(turns) == 2
+    monkeypatch.setattr(similarity, "AT_ONCE", 0)
+    assert got_components(similarity.near_duplicates(df)) == brute_components(rows)
+    assert len(turns) > 2 + 3
+
+
 def test_groups_of_the_join_are_bounded(spark, monkeypatch, tmp_path):
     """However many fragments a pair's overlap is cut into, and however many sets a cluster has: partial
     overlaps summed together, and shingles that come to one task, keep their bounds."""
@@ -213,6 +228,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_one_task_and_more_star_steps(spark, monkeypatch):
+    writes, inner = [], components_module.written
+    monkeypatch.setattr(components_module, "written", lambda *a: writes.append(1) or inner(*a))
+    edges = [(i, i + 1) for i in range(300)] + [(400, 400 + i) for i in range(9)] + [(7, 3), (500, 500)]
+    random.Random(2).shuffle(edges)
+    monkeypatch.setattr(components_module, "ALONE", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a few rows are one task everywhere
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    want = {i: 0 for i in range(301)} | {400 + i: 400 for i in range(9)} | {500: 500}
+    try:
+        assert {r["node"]: r["component"] for r in components(df).collect()} == want
+        assert len(writes) == 2
+        monkeypatch.setattr(components_module, "ALONE", 0)
+        assert {r["node"]: r["component"] for r in components(df).collect()} == want
+        assert len(writes) > 2 + 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[s:s + length] for d in data for s in range(len(d) - length + 1))
