@@ -47,6 +47,33 @@ def _shared_encoder(kept=[]):
     return kept[0]
 
 
+def test_many_words_are_encoded_as_one_text(documents):
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    enc = Encoder(tokenizer_path())
+    rng = np.random.default_rng(4)
+    texts = [t for t in ODD if t] + [" ".join(f"w{x}'s" for x in rng.integers(0, 1 << 40, 500)) for _ in range(8)] + ["a\n", "Ġ Ġa b<|endoftext|> <|endoftext|>c", " lead", "a "]
+    texts += [r["text"] for r in documents.limit(40).collect()]
+    want = [whole(enc, t) for t in texts]
+    enc.tokenizer = Counted(enc.tokenizer)
+
+    def got():
+        ids, ends = enc.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+    assert got() == want
+    assert enc.tokenizer.texts < 150 < 4000 < len(enc.place)
+    enc.spaced[:] = False  # a vocabulary that writes spaces in another way
+    enc.place.clear()
+    assert got() == want
+
+
 def test_slices_hold_whole_texts():
     batch = pa.RecordBatch.from_pydict({"t": ["x" * 5, None, "y" * 50, "z"]})
     assert [r for s in slices(batch, "t", 10) for r in s.column("t").to_pylist()] == batch.column("t").to_pylist()
